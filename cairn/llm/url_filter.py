@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import UPPER, need
+from cairn.llm.common import UPPER, need, ship
 
 Rule = tuple[str, str, str]  # verdict, host, path
 MAX_TRIE_RULES = 200_000
@@ -73,6 +73,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", defau
     parsed = pages.select(*(pages[c] for c in kept), host.alias("host"), path.alias("path"))
     if len(rules) > max_trie_rules:
         return _by_join(parsed, rules, default)
+    ship(pages.sparkSession)
     trie = HostTrie(rules)
 
     @F.pandas_udf("rule string, verdict string")
