@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import language, packing, quality, sharding, url_filter
+from cairn.llm import decontaminate, language, packing, quality, sharding, url_filter
 from cairn.llm.common import crc_bucket
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,29 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     names, log_p = language.train(docs)
     told = language.predict(docs.select("doc_id", "text"), names, log_p)
     return told.select("doc_id", (crc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.report(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+ORACLES["op1_benchmark_decontamination"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+b AS (SELECT item_id, ws, unnest(range(0, greatest(len(ws) - 10, 0) + 1)) AS p FROM i WHERE len(ws) > 0),
+w AS (SELECT DISTINCT item_id, array_to_string(ws[p + 1 : p + 10], ' ') AS win, len(ws[p + 1 : p + 10]) AS n FROM b),
+q AS (SELECT doc_id, ws, unnest(range(0, len(ws))) AS p FROM d),
+h AS (
+  SELECT q.doc_id, q.p, l.n, w.item_id
+  FROM q JOIN (SELECT DISTINCT n FROM w) l ON q.p + l.n <= len(q.ws)
+  JOIN w ON w.n = l.n AND w.win = array_to_string(q.ws[q.p + 1 : q.p + l.n], ' ')),
+c AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS x FROM h) GROUP BY doc_id),
+g AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_hit, coalesce(g.n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(g.items, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN g ON g.doc_id = d.doc_id
+"""
