@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import decontaminate, language, packing, quality, sharding, shingle_join, url_filter
+from cairn.llm import decontaminate, language, packing, quality, sharding, shingle_join, url_filter, vector_dedup
 from cairn.llm.common import crc_bucket
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,8 @@ FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN g ON g.doc_id = d.doc_id
 @query
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.join(_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4, num=85, den=100)
+
+
+@query
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.link(_table(spark, sf_dir, "embeddings"))
