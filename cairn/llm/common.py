@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -70,8 +71,12 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
+        """Deletes tables that nothing reads any more, and lets Spark delete the shuffle files of finished steps,
+        which it does when the driver collects its garbage."""
         for name in names:
             _remove(self.spark, f"{self.path}/{name}")
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
 
 def need(df: DataFrame, *columns: str) -> None:

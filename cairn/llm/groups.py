@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from cairn.llm.common import Scratch
 
 
-def by_group(df: DataFrame, keys: list[str], work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, few: int = 4096) -> DataFrame:
+def by_group(df: DataFrame, keys: list[str], work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, few: int = 4096, then: tuple[str, ...] = ()) -> DataFrame:
     """Calls work with all rows of as many whole groups as come together, in the order of their keys (64-bit numbers).
-    One call has many small groups, so that small groups don't pay for a call each. Partitions are streamed."""
+    One call has many small groups, so that small groups don't pay for a call each. Partitions are streamed.
+    then: columns that order the rows of a group."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -39,7 +40,7 @@ def by_group(df: DataFrame, keys: list[str], work: Callable[[pa.Table], Iterator
         if rows:
             yield from work(pa.Table.from_batches(held))
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *then).mapInArrow(run, schema)
 
 
 def bounds(table: pa.Table, keys: list[str]) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import decontaminate, language, packing, quality, sharding, shingle_join, url_filter, vector_dedup
+from cairn.llm import decontaminate, language, packing, quality, sharding, shingle_join, substrings, url_filter, vector_dedup
 from cairn.llm.common import crc_bucket
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,8 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.link(_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(_table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -246,7 +246,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
 
     prefixes = rows.mapInArrow(lambda b: _prefixes(b, shingle, num, den, counts), "id bigint, prefix array<bigint>, bitmap binary")
     own = prefixes.join(classes.groupBy(F.col("least").alias("id")).agg(F.max("n").alias("n")), "id")
-    own = scratch.table(own.dropDuplicates(["id"]), "prefixes")
+    own = scratch.table(own, "prefixes")
     postings = own.select("id", F.explode("prefix").alias("token"))
     leaders = scratch.table(postings.groupBy("token").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("times")).where("times > 1").select("token", "leader"), "leaders")
     members = scratch.table(postings.join(leaders, "token").select("leader", "id").distinct(), "members")
@@ -262,7 +262,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
             blobs = [s.tobytes() for _, s in _sets(batch, 1, shingle)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary()), batch.column(2)], ["id", "members", "roots"])
 
-    held = rows.join(near, "id").dropDuplicates(["id"]).select("id", "text", "roots").mapInArrow(sets, "id bigint, members binary, roots array<bigint>")
+    held = rows.join(near, "id").select("id", "text", "roots").mapInArrow(sets, "id bigint, members binary, roots array<bigint>")
     spread = held.select("id", "members", F.explode("roots").alias("root"))
     dealt = block_pairs_of(clusters, spread, scratch)
     keys = ["root", "block_i", "block_j"]
