@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import decontaminate, language, packing, quality, sharding, shingle_join, substrings, url_filter, vector_dedup
+from cairn.llm import decontaminate, kneser_ney, language, packing, quality, sharding, shingle_join, substrings, url_filter, vector_dedup
 from cairn.llm.common import crc_bucket
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,11 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_bucket(F.col("doc_id"), 10) == 0
+    model = kneser_ney.train(docs.where(~held_out))
+    return kneser_ney.score(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
