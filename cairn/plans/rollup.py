@@ -8,7 +8,22 @@ from pyspark.sql import functions as F
 from cairn.plans.catalog import query
 from cairn.plans.control import display_status
 
-STATE = F.col("state")
+
+
+class _State:
+    """The state column, made when it is used: at import there is no session."""
+
+    def __le__(self, v):
+        return F.col("state") <= v
+
+    def __ge__(self, v):
+        return F.col("state") >= v
+
+    def __eq__(self, v):
+        return F.col("state") == v
+
+
+STATE = _State()
 
 
 @query("SELECT CAST(sum(CASE WHEN state <= 3 THEN 1 ELSE 0 END) AS BIGINT) AS active, CAST(sum(CASE WHEN state = 2 THEN 1 ELSE 0 END) AS BIGINT) AS running, CAST(sum(CASE WHEN state = 4 THEN 1 ELSE 0 END) AS BIGINT) AS succeeded, CAST(sum(CASE WHEN state >= 5 THEN 1 ELSE 0 END) AS BIGINT) AS failed FROM jobs", "jobs")

@@ -8,24 +8,29 @@ from pyspark.sql import functions as F
 from cairn.functions import calendar, texts, tokens
 from cairn.plans.catalog import query
 
-MINUTES = F.array("minute_a", "minute_b")
+
+
+def minutes():
+    return F.array("minute_a", "minute_b")
+
+
 SLOTS = """WITH s AS (SELECT schedule_id, now_ms, min(slot) AS slot FROM (SELECT schedule_id, now_ms, (now_ms // 86400000 + d) * 86400000 + CASE WHEN which = 0 THEN minute_a ELSE minute_b END * 60000 AS slot
 FROM schedules, range(0, {days}) r(d), (VALUES (0), (1)) v(which) WHERE {on}) x WHERE slot > now_ms GROUP BY schedule_id, now_ms) SELECT schedules.schedule_id, coalesce(slot, schedules.now_ms) AS next_run FROM schedules LEFT JOIN s ON s.schedule_id = schedules.schedule_id"""
 
 
 @query(SLOTS.format(days=2, on="true"), "schedules")
 def c1_daily_next_run(schedules):
-    return schedules.select("schedule_id", calendar.daily(F.col("now_ms"), MINUTES).alias("next_run"))
+    return schedules.select("schedule_id", calendar.daily(F.col("now_ms"), minutes()).alias("next_run"))
 
 
 @query(SLOTS.format(days=8, on="(weekday_mask = 0 AND d < 2) OR (weekday_mask >> CAST((now_ms // 86400000 + d + 4) % 7 AS INT)) & 1 = 1"), "schedules")
 def c2_weekly_next_run(schedules):
-    return schedules.select("schedule_id", calendar.weekly(F.col("now_ms"), MINUTES, F.col("weekday_mask")).alias("next_run"))
+    return schedules.select("schedule_id", calendar.weekly(F.col("now_ms"), minutes(), F.col("weekday_mask")).alias("next_run"))
 
 
 @query(SLOTS.format(days=745, on="(month_mask >> CAST(date_part('day', DATE '1970-01-01' + CAST(now_ms // 86400000 + d AS INT)) - 1 AS INT)) & 1 = 1"), "schedules")
 def c3_monthly_next_run(schedules):
-    return schedules.select("schedule_id", calendar.monthly(F.col("now_ms"), MINUTES, F.col("month_mask")).alias("next_run"))
+    return schedules.select("schedule_id", calendar.monthly(F.col("now_ms"), minutes(), F.col("month_mask")).alias("next_run"))
 
 
 @query("SELECT schedule_id, concat('schedule-fire|', CAST(schedule_id AS VARCHAR), '|', CAST(next_run_ms AS VARCHAR)) AS fire_key, strftime(make_timestamp(next_run_ms * 1000), 'archives/%Y/%m/') || CAST(schedule_id AS VARCHAR) || '.bkf' AS archive_key FROM schedules WHERE next_run_ms IS NOT NULL", "schedules")
@@ -37,7 +42,7 @@ def c4_keys(schedules):
 
 @query("SELECT schedule_id, minute_a < 1440 AND minute_b < 1440 AND minute_b - minute_a >= 30 AND minute_a + 1440 - minute_b >= 30 AS valid FROM schedules", "schedules")
 def c5_trigger_rules(schedules):
-    return schedules.select("schedule_id", calendar.valid_minutes(MINUTES).alias("valid"))
+    return schedules.select("schedule_id", calendar.valid_minutes(minutes()).alias("valid"))
 
 
 @query("SELECT event_id, strftime(make_timestamp(created_ms * 1000), '%Y-%m-%d') AS day, strftime(make_timestamp(created_ms * 1000), '%H:%M') AS minute FROM audit", "audit")
