@@ -183,7 +183,7 @@ def _clusters(table: pa.Table, num: int, den: int):
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """How many elements each two sets share."""
+    """How many elements each two different sets share (the diagonal isn't filled)."""
     n = len(sets)
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(n), [len(s) for s in sets])
