@@ -304,3 +304,18 @@ def n8_default_connection(inventory):
     """The first available default, else the first available."""
     rank = F.struct((F.col("source_id") % 3 != 0).alias("other"), F.col("source_id").alias("id"))
     return inventory.where("available").groupBy("disk").agg(F.min(rank).alias("m")).select("disk", F.col("m.id").alias("source_id"))
+
+
+@query("SELECT owner, low, partition_id FROM (SELECT r.owner, r.low, p.p_partkey AS partition_id, row_number() OVER (PARTITION BY r.owner, r.low ORDER BY p.p_partkey) AS k FROM (SELECT DISTINCT owner, low FROM ranges WHERE owner % 10 = 0) r JOIN part p ON p.p_partkey % 20 = r.owner % 20 AND p.p_size = r.low % 50 + 1) x WHERE k = 1", "ranges", "part")
+def n6_first_match(ranges, part):
+    """The first matching partition in declared order."""
+    asked = ranges.where("owner % 10 = 0").select("owner", "low", (F.col("owner") % 20).alias("disk"), (F.col("low") % 50 + 1).cast("int").alias("p_size")).distinct()
+    declared = part.select("p_partkey", (F.col("p_partkey") % 20).alias("disk"), "p_size")
+    return asked.join(declared, ["disk", "p_size"]).groupBy("owner", "low").agg(F.min("p_partkey").alias("partition_id"))
+
+
+@query("SELECT folder, entry_id, nth FROM (SELECT folder, entry_id, row_number() OVER (PARTITION BY folder ORDER BY name, entry_id) AS nth FROM new_files WHERE name NOT IN ('order-0', 'order-1')) x WHERE nth > 3 AND nth <= 8", "new_files")
+def s12_browse_live_source(new_files):
+    """Children of a folder without hidden rows, five behind an offset of three."""
+    shown = new_files.where(~F.col("name").isin("order-0", "order-1"))
+    return paging.by_offset(shown, ["folder"], [F.col("name").cast("binary"), F.col("entry_id")], 3, 5).select("folder", "entry_id", F.col("nth").cast("long").alias("nth"))

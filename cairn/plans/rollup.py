@@ -213,3 +213,15 @@ def j19_already_mounted(catalog, jobs):
 @query("SELECT job_id, CASE WHEN state IN (1, 2, 3) THEN 'running' WHEN state = 4 THEN 'success' ELSE 'failed' END AS status, " + PERCENT + " AS percent FROM jobs", "jobs")
 def m1_percent(jobs):
     return jobs.select("job_id", display_status().alias("status"), percent().alias("percent"))
+
+
+@query("""WITH t AS (SELECT disk, source_id, capacity, sum(capacity) OVER (PARTITION BY disk) AS total, row_number() OVER (PARTITION BY disk ORDER BY source_id) AS k, count(*) OVER (PARTITION BY disk) AS n FROM inventory),
+w AS (SELECT *, CAST(greatest(40, 1000 * capacity // total) AS BIGINT) AS width FROM t)
+SELECT disk, source_id, CASE WHEN k < n THEN width ELSE greatest(40, 1000 - CAST(coalesce(sum(width) OVER (PARTITION BY disk ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT)) END AS width FROM w""", "inventory")
+def m6_proportional_split(inventory):
+    """A thousand units dealt by capacity with a minimum each; the last one gets what is left."""
+    whole, order = Window.partitionBy("disk"), Window.partitionBy("disk").orderBy("source_id")
+    t = inventory.withColumns({"total": F.sum("capacity").over(whole), "k": F.row_number().over(order), "n": F.count(F.lit(1)).over(whole)})
+    t = t.withColumn("w", F.greatest(F.lit(40).cast("long"), F.expr("1000 * capacity div total")))
+    rest = F.lit(1000) - F.coalesce(F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return t.select("disk", "source_id", F.when(F.col("k") < F.col("n"), F.col("w")).otherwise(F.greatest(F.lit(40).cast("long"), rest)).alias("width"))
