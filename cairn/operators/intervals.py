@@ -56,18 +56,27 @@ def gaps(ranges: DataFrame, by: list[str], end, least: int, low: str = "low", hi
     return inner.unionByName(last).where(F.col("g_high") - F.col("g_low") > least).select(*by, F.col("g_low").alias(low), F.col("g_high").alias(high))
 
 
-def first_fit(requests: DataFrame, free: DataFrame, by: str, schema: str) -> DataFrame:
-    """Gives each request of an owner the beginning of the first free range that is long enough. The free room after one
-    request decides the next, so that an owner's requests are taken one after the other; owners run side by side."""
-
-    def place(wanted: pd.DataFrame, room: pd.DataFrame) -> pd.DataFrame:
-        spans = [[int(a), int(b)] for a, b in sorted(zip(room["low"], room["high"]))]
-        out = []
-        for _, r in wanted.sort_values("request").iterrows():
-            at = next((s for s in spans if s[1] - s[0] >= r["clusters"]), None)
-            out.append((r[by], r["request"], -1 if at is None else at[0]))
-            if at is not None:
-                at[0] += int(r["clusters"])
-        return pd.DataFrame(out, columns=[by, "request", "placed"])
-
-    return requests.groupBy(by).cogroup(free.groupBy(by)).applyInPandas(place, schema)
+def first_fit(requests: DataFrame, free: DataFrame, by: str) -> DataFrame:
+    """Gives each request of an owner the beginning of the first free range that is long enough, or -1. The free room
+    after one request decides the next, so that an owner's requests are taken one after the other. Owners run side by
+    side: each partition is a stream of owners, with an owner's free ranges before its requests."""
+    rows = free.select(by, F.lit(0).alias("kind"), F.col("low").alias("a"), F.col("high").alias("b")).unionByName(requests.select(by, F.lit(1).alias("kind"), F.col("request").alias("a"), F.col("clusters").alias("b")))
+
+    def place(batches):
+        owner, spans = None, []
+        for batch in batches:
+            out = []
+            for o, kind, a, b in zip(batch[by], batch["kind"], batch["a"], batch["b"]):
+                if o != owner:
+                    owner, spans = o, []
+                if kind == 0:
+                    spans.append([a, b])
+                    continue
+                at = next((s for s in spans if s[1] - s[0] >= b), None)
+                out.append((o, a, -1 if at is None else at[0]))
+                if at is not None:
+                    at[0] += b
+            yield pd.DataFrame(out, columns=[by, "request", "placed"])
+
+    kind = dict(requests.dtypes)[by]
+    return rows.repartition(by).sortWithinPartitions(by, "kind", "a").mapInPandas(place, f"{by} {kind}, request bigint, placed bigint")

@@ -94,7 +94,7 @@ def i10_first_fit(ranges):
     free = ops.gaps(ops.merged(ranges, ["owner"]), ["owner"], 4096, 0)
     nth = F.row_number().over(Window.partitionBy("owner").orderBy("low", "high"))
     wanted = ranges.withColumn("request", nth.cast("long")).where("request <= 10").select("owner", "request", ((F.col("high") - F.col("low")) * 3).alias("clusters"))
-    return ops.first_fit(wanted, free, "owner", "owner long, request long, placed long")
+    return ops.first_fit(wanted, free, "owner")
 
 
 @query("SELECT owner, low, least(high, (low // 64 + 1) * 64) AS high, 0 AS half FROM ranges UNION ALL SELECT owner, (low // 64 + 1) * 64, high, 1 FROM ranges WHERE high > (low // 64 + 1) * 64", "ranges")

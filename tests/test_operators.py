@@ -139,7 +139,7 @@ def test_gaps_and_clip(spark):
 def test_first_fit_takes_the_first_room(spark):
     wanted = spark.createDataFrame([(1, 1, 5), (1, 2, 4), (1, 3, 9)], "owner long, request long, clusters long")
     free = ranges(spark, [(1, 0, 6), (1, 10, 20)])
-    found = intervals.first_fit(wanted, free, "owner", "owner long, request long, placed long")
+    found = intervals.first_fit(wanted, free, "owner")
     assert sorted((r["request"], r["placed"]) for r in found.collect()) == [(1, 0), (2, 10), (3, -1)]
 
 
