@@ -43,7 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.conf.set("spark.cairn.scratch", made := spark.conf.get("spark.cairn.scratch", None) or f"file://{tempfile.mkdtemp(prefix='cairn-')}")
     return made

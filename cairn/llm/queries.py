@@ -128,3 +128,48 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_bucket(F.col("doc_id"), 10) == 0
     model = kneser_ney.train(docs.where(~held_out))
     return kneser_ney.score(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+ORACLES["op9_ngram_jaccard_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[p + 1 : p + 4], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(0, greatest(len(ws) - 3, 1))) AS p FROM w WHERE len(ws) > 0) x),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+z AS (SELECT x AS a, y AS b FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT doc_id, doc_id AS reached FROM w UNION SELECT r.doc_id, z.b FROM r JOIN z ON z.a = r.reached)
+SELECT w.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(r.reached) AS component_id
+FROM w JOIN r ON r.doc_id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id GROUP BY w.doc_id
+"""
+
+ORACLES["op2_embedding_near_dedup"] = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+z AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+r AS (SELECT vec_id, vec_id AS reached FROM embeddings UNION SELECT r.vec_id, z.b FROM r JOIN z ON z.a = r.reached),
+n AS (SELECT a, count(*) AS n FROM z GROUP BY a)
+SELECT r.vec_id, coalesce(max(n.n), 0)::BIGINT AS n_links, min(reached) AS component_id, r.vec_id = min(reached) AS kept FROM r LEFT JOIN n ON n.a = r.vec_id GROUP BY r.vec_id
+"""
+
+ORACLES["op6_suffix_array_dedup"] = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+n AS (SELECT doc_id, b, octet_length(b) AS n FROM d),
+p AS (SELECT doc_id, b, unnest(range(0, n - 199)) AS p FROM n WHERE n >= 200),
+h AS (SELECT doc_id, p, md5(b[p + 1 : p + 200]) AS h FROM p),
+o AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
+w AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 200 THEN 0 ELSE 1 END AS fresh FROM h JOIN o ON o.h = h.h),
+g AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM w),
+r AS (SELECT doc_id, min(p) AS s, max(p) + 200 AS e FROM g GROUP BY doc_id, run),
+k AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before FROM r),
+t AS (SELECT doc_id, sum(e - s) AS removed, count(*) AS spans, max(e) AS last FROM r GROUP BY doc_id),
+c AS (
+  SELECT k.doc_id, k.s AS place, CASE WHEN k.s > k.before THEN hex(n.b[k.before + 1 : k.s]) ELSE '' END AS kept FROM k JOIN n ON n.doc_id = k.doc_id
+  UNION ALL SELECT n.doc_id, coalesce(t.last, 0) + 1000000000, CASE WHEN n.n > coalesce(t.last, 0) THEN hex(n.b[coalesce(t.last, 0) + 1 : n.n]) ELSE '' END FROM n LEFT JOIN t ON t.doc_id = n.doc_id),
+f AS (SELECT doc_id, sha256(unhex(string_agg(kept, '' ORDER BY place))) AS kept_sha256 FROM c GROUP BY doc_id)
+SELECT n.doc_id, n.n::BIGINT AS n_bytes, coalesce(t.removed, 0)::BIGINT AS n_removed, coalesce(t.spans, 0)::BIGINT AS n_spans, f.kept_sha256
+FROM n LEFT JOIN t ON t.doc_id = n.doc_id JOIN f ON f.doc_id = n.doc_id
+"""
