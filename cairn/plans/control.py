@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.errors import Conflict
 from cairn.operators import filters, paging
+from cairn.operators.lineage import settle
 from cairn.plans.catalog import query
 
 JOB = ["job_id", "operation", "state", "created_ms"]
@@ -86,7 +87,8 @@ def ranked_globally(df: DataFrame, order: list[str], to: str) -> DataFrame:
     range, and moved on by the number of rows in the ranges before."""
     dealt = df.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
     dealt = dealt.sortWithinPartitions(*order)
-    inside = dealt.withColumn("inside", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
+    # settled, because ranges come from a sample: both uses below have to see the same ones
+    inside = settle(dealt.withColumn("inside", F.row_number().over(Window.partitionBy("part").orderBy(*order))))
     before = inside.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return inside.join(F.broadcast(before.select("part", "before")), "part").withColumn(to, F.col("before") + F.col("inside")).drop("part", "inside", "before")
 
