@@ -11,8 +11,8 @@ of the same k bytes alone.
    got, and from it the longest-previous-factor array: the previous and the next smaller position in suffix order give
    the longest match with an earlier place. A window repeats if an earlier place matches all of it, or if it is such an
    earlier place itself. ``keep_first`` leaves the first place.
-3. An anchor with more than ``max_contexts`` different contexts would be too much for one task: its windows are sent as
-   hashes, counted by partial sums, and decided by their counts.
+3. An anchor with more than ``max_contexts`` different contexts would be too much for one task: its contexts are cut into
+   ever narrower pieces, whose hashes are counted by partial sums (see narrowed()).
 4. Per text, the windows that repeat are merged into runs, which are cut out.
 
 Defined results: a null text is empty; texts shorter than ``length`` stay as they are. Rows of one id but different texts are told
@@ -161,6 +161,55 @@ def _repeats(table: pa.Table, length: int, keep_first: bool):
         lo = hi
 
 
+def _split(batches, length: int, width: int):
+    """Cuts contexts into pieces of at most ``width`` neighbouring windows, by the windows' distance from the anchor. A
+    piece's core is what all windows of its range share; any text that has a window of the range has it."""
+    digest = xxhash.xxh3_64_intdigest
+    names = ["anchor", "id", "text_hash", "times", "first", "last", "place", "bytes"]
+    for batch in batches:
+        out: list[tuple] = []
+        for anchor, id_, text, times, first, last, place, body in zip(*(batch.column(c).to_pylist() for c in names)):
+            view = memoryview(body)
+            for part in range((place - last) // width, (place - first) // width + 1):
+                near, far = part * width, part * width + width - 1  # distances of the range
+                low, high = max(first, place - far), min(last, place - near)
+                core = digest(view[place - near - first : place - far - first + length])
+                own = view[low - first : high - first + length]
+                out.append((anchor, part, core, digest(own, place - low), id_, text, times, low, high, place, bytes(own) if width > 1 else b""))
+        if out:
+            columns = [*zip(*out)]
+            kinds = [pa.int64(), pa.int32(), pa.uint64(), pa.uint64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
+            arrays[2], arrays[3] = (pa.array(np.asarray(x).view(np.int64)) for x in arrays[2:4])
+            yield pa.RecordBatch.from_arrays(arrays, _PIECE_NAMES)
+
+
+_PIECE_NAMES = ["anchor", "part", "core", "whole", "id", "text_hash", "times", "first", "last", "place", "bytes"]
+_PIECES = "anchor bigint, part int, core bigint, whole bigint, id bigint, text_hash bigint, times bigint, first int, last int, place int, bytes binary"
+
+
+def narrowed(contexts: DataFrame, scratch: Scratch, length: int, keep_first: bool, widths: tuple[int, ...] = (64, 8, 1)) -> DataFrame:
+    """Runs of repeated windows among contexts of anchors that have too many. Contexts are cut into ever narrower pieces.
+    Pieces that agree in all bytes repeat; those whose core no other has hold no repeated window; only what agrees in
+    its core but not in all bytes is cut again. At one window both are the same. Counts are partial sums."""
+    rows, found = contexts, None
+    for level, width in enumerate(widths):
+        pieces = scratch.table(rows.mapInArrow(lambda b, w=width: _split(b, length, w), _PIECES), f"pieces{level}")
+        keys = ["anchor", "part", "core", "whole"]
+        kinds = scratch.table(pieces.groupBy(*keys).agg(F.sum("times").alias("total"), F.min(F.struct(*_PLACE)).alias("one")), f"piece_kinds{level}")
+        cores = kinds.groupBy(*keys[:3]).agg(F.count(F.lit(1)).alias("wholes"), F.min("total").alias("rarest"))
+        cores = scratch.table(cores.where("wholes > 1" if keep_first else "wholes > 1 and rarest = 1").select(*keys[:3], F.lit(True).alias("again")), f"cores{level}")
+        decided = scratch.table(kinds.join(cores, keys[:3], "left").where("total > 1 or again"), f"decided{level}")
+        first = F.struct(*_PLACE) == F.col("one")
+        told = scratch.table(pieces.join(decided, keys), f"told{level}")
+        repeats = told.where(F.col("total") > 1).where(~first if keep_first else F.col("times") == 1).select("id", "text_hash", F.col("first").alias("low"), F.col("last").alias("high"))
+        repeats = scratch.table(repeats, f"repeats{level}")
+        found = repeats if found is None else found.unionByName(repeats)
+        rows = scratch.table(told.where("again").where(first).select("anchor", "id", "text_hash", F.col("total").alias("times"), "first", "last", "place", "bytes"), f"rows{level}")
+        scratch.drop(*(f"{n}{level}" for n in ("pieces", "piece_kinds", "cores", "decided", "told")), *([f"rows{level - 1}"] if level else []))
+    return found
+
+
 _PLACE = ("id", "text_hash", "first")
 
 
@@ -183,7 +232,7 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, length: int = LENGTH, k:
         found_whole = rows.join(whole, ["anchor", "context"])
     found = scratch.table(found_whole.select("id", "text_hash", F.col("first").alias("low"), F.col("last").alias("high")), "found_whole")
     # one place of each context that has to be looked into
-    unsure = rows.join(mixed, "anchor").groupBy("anchor", "context", "hot").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(*_PLACE, "last", "place")).alias("one")).select("anchor", "times", "hot", "one.*")
+    unsure = scratch.table(rows.join(mixed, "anchor"), "unsure").groupBy("anchor", "context", "hot").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(*_PLACE, "last", "place")).alias("one")).select("anchor", "times", "hot", "one.*")
     wanted = scratch.table(unsure.groupBy("id", "text_hash").agg(F.collect_list(F.struct("anchor", "times", "hot", "first", "last", "place")).alias("contexts")), "wanted")
     scratch.drop("rows", "kinds")
 
@@ -205,31 +254,12 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, length: int = LENGTH, k:
     texts = docs.join(wanted, ["id", "text_hash"]).select("id", "text_hash", "text", "contexts")
     schema = "id bigint, text_hash bigint, anchor bigint, times bigint, hot boolean, first int, last int, place int, bytes binary"
     parts = scratch.table(texts.mapInArrow(contexts, schema), "contexts")
-    scratch.drop("wanted", "mixed", "whole")
+    scratch.drop("wanted", "mixed", "whole", "unsure")
     near = by_group(parts.where("not hot"), ["anchor"], lambda t: _repeats(t, length, keep_first), "id bigint, text_hash bigint, low int, high int", few=4096, then=_PLACE)
     near = scratch.table(near, "near")
 
-    def windows(batches):
-        digest = xxhash.xxh3_64_intdigest
-        names = ["anchor", "id", "text_hash", "times", "low", "off", "hash"]
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("anchor", "id", "text_hash", "times", "first", "last", "place", "bytes")]
-            for anchor, id_, text, times, first, last, place_, body in zip(*columns):
-                n, view = last - first + 1, memoryview(body)
-                hashes = np.array([digest(view[s : s + length]) for s in range(n)], np.uint64).view(np.int64)
-                low = np.arange(first, last + 1, dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([x] * n, pa.int64()) for x in (anchor, id_, text, times)] + [pa.array(low), pa.array(low - np.int32(place_)), pa.array(hashes)], names)
-
-    each = scratch.table(parts.where("hot").mapInArrow(windows, "anchor bigint, id bigint, text_hash bigint, times bigint, low int, off int, hash bigint"), "windows")
-    same = ["anchor", "off", "hash"]
-    if keep_first:
-        again = each.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "text_hash", "low")).alias("one")).where("n > 1").select(*same, "one")
-        hot = each.join(scratch.table(again, "again"), same).where(F.struct("id", "text_hash", "low") != F.col("one"))
-    else:
-        again = each.groupBy(*same).agg(F.sum("times").alias("n")).where("n > 1").select(*same)
-        hot = each.where("times = 1").join(scratch.table(again, "again"), same)
-    hot = scratch.table(hot.select("id", "text_hash", "low", F.col("low").alias("high")), "hot")
-    scratch.drop("contexts", "windows", "again")
+    hot = narrowed(parts.where("hot").drop("hot"), scratch, length, keep_first)
+    scratch.drop("contexts")
     return found.unionByName(near).unionByName(hot)
 
 
@@ -262,7 +292,7 @@ def runs(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int =
 
     listed = found.groupBy("id", "text_hash").agg(F.collect_list(F.struct("low", "high")).alias("windows"))
     spans = scratch.table(listed.mapInArrow(merged, "id bigint, text_hash bigint, runs array<struct<start:int,end:int>>"), "runs").withColumnsRenamed({"id": "__id", "text_hash": "__hash", "runs": "__runs"})
-    scratch.drop("found_whole", "near", "hot")
+    scratch.drop("found_whole", "near", *(f"repeats{k}" for k in range(3)))
     both = docs.withColumns({"__k": own_key, "__t": F.xxhash64(docs[text])})
     return both.join(spans, (both["__k"] == spans["__id"]) & (both["__t"] == spans["__hash"]), "left").drop("__k", "__t", "__id", "__hash")
 
