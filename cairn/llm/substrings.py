@@ -4,8 +4,10 @@ Every window of ``length`` bytes chooses an anchor: its k-byte string of least h
 are equal choose the same anchor at the same place, so that an anchor's windows need be compared with those of anchors
 of the same k bytes alone.
 
-1. Each anchor becomes a row of two hashes: of its k bytes, and of its context, which is all bytes of its windows.
-   Contexts that occur twice are decided by that: all their windows repeat. Anchors whose bytes occur once have none.
+1. Neighbouring anchors make a segment, which ends at anchors of certain hashes. Segments that are equal in all bytes
+   are decided at once: all their windows repeat, and one of them goes on for the others. An anchor that goes on is a
+   row of two hashes: of its k bytes, and of its context, which is all bytes of its windows. Contexts that occur twice
+   are decided by that. Anchors whose bytes occur once have no repeated windows.
 2. What is left are contexts that share their anchor but not all bytes, such as the ends of copies and texts with small
    changes. One context of each kind goes to the task of its anchor, which builds a suffix array over all contexts it
    got, and from it the longest-previous-factor array: the previous and the next smaller position in suffix order give
@@ -38,6 +40,7 @@ from cairn.llm.groups import bounds, by_group
 LENGTH = 200
 ANCHOR = 32
 MAX_CONTEXTS = 256
+SEGMENT = 8  # anchors in a segment, on average
 TEXT_BLOCK = 1 << 19
 SUFFIX_BLOCK = 1 << 20  # bytes of contexts in one suffix array
 
@@ -74,8 +77,10 @@ def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _anchor_rows(batches, length: int, k: int):
-    """One row for each anchor: places are counted from the text's beginning."""
+def _segments(batches, length: int, k: int):
+    """One row for each segment, which is a run of anchors that begins at one whose hash is divisible by SEGMENT, with
+    its anchors. Places are counted from the text's beginning."""
+    digest = xxhash.xxh3_64_intdigest
     for batch in batches:
         data, offsets = bytetext.buffers(batch.column(2))
         ids, texts = batch.column(0), batch.column(1)
@@ -85,16 +90,24 @@ def _anchor_rows(batches, length: int, k: int):
             text, place, first, last, key = anchors(piece, own, length, k)
             if not len(text):
                 continue
-            view, digest = memoryview(np.ascontiguousarray(piece)), xxhash.xxh3_64_intdigest
-            context = np.fromiter((digest(view[a:b], d) for a, b, d in zip(first.tolist(), (last + length).tolist(), (place - first).tolist())), np.uint64, len(first))
-            rows, base = pa.array(text + lo), own[:-1][text]
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(rows), texts.take(rows), pa.array(_signed(key)), pa.array(_signed(context)), pa.array((place - base).astype(np.int32)), pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32))],
-                ["id", "text_hash", "anchor", "context", "place", "first", "last"],
-            )
-
-
-_ANCHOR_ROWS = "id bigint, text_hash bigint, anchor bigint, context bigint, place int, first int, last int"
+            view = memoryview(np.ascontiguousarray(piece))
+            hashed = lambda a, b, seed: np.fromiter((digest(view[x:y], z) for x, y, z in zip(a.tolist(), (b + length).tolist(), seed.tolist())), np.uint64, len(a))
+            context = hashed(first, last, place - first)
+            new = key % np.uint64(SEGMENT) == 0
+            new[0] = True
+            new[1:] |= text[1:] != text[:-1]
+            at = np.flatnonzero(new)
+            end = np.append(at[1:], len(text))
+            whole = hashed(first[at], last[end - 1], last[end - 1] - first[at])
+            base = own[:-1][text]
+            small = lambda x: pa.array(x.astype(np.int32))
+            members = pa.StructArray.from_arrays([pa.array(_signed(key)), pa.array(_signed(context)), small(place - base), small(first - base), small(last - base)], ["anchor", "context", "place", "first", "last"])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(text)).astype(np.int32)), members)
+            rows = pa.array(text[at] + lo)
+            yield pa.RecordBatch.from_arrays([ids.take(rows), texts.take(rows), pa.array(_signed(key[at])), pa.array(_signed(whole)), small(first[at] - base[at]), small(last[end - 1] - base[at]), lists], ["id", "text_hash", "head", "segment", "first", "last", "anchors"])
+
+
+_SEGMENTS = "id bigint, text_hash bigint, head bigint, segment bigint, first int, last int, anchors array<struct<anchor:bigint,context:bigint,place:int,first:int,last:int>>"
 
 
 def suffix_order(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -215,15 +228,25 @@ _PLACE = ("id", "text_hash", "first")
 
 def repeated_windows(docs: DataFrame, scratch: Scratch, length: int = LENGTH, k: int = ANCHOR, max_contexts: int = MAX_CONTEXTS, keep_first: bool = False) -> DataFrame:
     """id, text_hash, and runs of window starts (low to high) that occur more than once. docs: id, text_hash, text."""
-    every = scratch.table(docs.mapInArrow(lambda b: _anchor_rows(b, length, k), _ANCHOR_ROWS), "every")
+    place, same = F.struct(*_PLACE), ["head", "segment"]
+    segments = scratch.table(docs.mapInArrow(lambda b: _segments(b, length, k), _SEGMENTS), "segments")
+    places = segments.drop("anchors")
+    twice = scratch.table(places.groupBy(*same).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*same), "twice")
+    ones = scratch.table(places.join(twice, same).groupBy(*same).agg(F.min(place).alias("one")), "ones")
+    in_segments = places.join(ones, same).where(place != F.col("one") if keep_first else F.lit(True))
+    in_segments = scratch.table(in_segments.select("id", "text_hash", F.col("first").alias("low"), F.col("last").alias("high")), "in_segments")
+    # of equal segments one goes on, and counts as two
+    going = segments.join(ones, same, "left").where(F.col("one").isNull() | (place == F.col("one")))
+    every = scratch.table(going.select("id", "text_hash", F.when(F.col("one").isNull(), 1).otherwise(2).alias("weight"), F.inline("anchors")), "every")
+    scratch.drop("segments", "twice", "ones")
     often = scratch.table(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "often")
     rows = scratch.table(every.join(often, "anchor"), "rows")
     scratch.drop("every", "often")
-    kinds = scratch.table(rows.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("times")), "kinds")
+    times = F.count(F.lit(1)) if keep_first else F.sum("weight")
+    kinds = scratch.table(rows.groupBy("anchor", "context").agg(times.alias("times")), "kinds")
     per = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts"), F.min("times").alias("rarest"))
     mixed = scratch.table(per.where("contexts > 1" if keep_first else "contexts > 1 and rarest = 1").select("anchor", (F.col("contexts") > max_contexts).alias("hot")), "mixed")
     whole = scratch.table(kinds.where("times > 1").select("anchor", "context"), "whole")
-    place = F.struct(*_PLACE)
     if keep_first:  # all places of a context but its first one
         one = rows.join(whole, ["anchor", "context"]).groupBy("anchor", "context").agg(F.min(place).alias("one"))
         one = scratch.table(one, "one")
@@ -232,7 +255,7 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, length: int = LENGTH, k:
         found_whole = rows.join(whole, ["anchor", "context"])
     found = scratch.table(found_whole.select("id", "text_hash", F.col("first").alias("low"), F.col("last").alias("high")), "found_whole")
     # one place of each context that has to be looked into
-    unsure = scratch.table(rows.join(mixed, "anchor"), "unsure").groupBy("anchor", "context", "hot").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(*_PLACE, "last", "place")).alias("one")).select("anchor", "times", "hot", "one.*")
+    unsure = scratch.table(rows.join(mixed, "anchor"), "unsure").groupBy("anchor", "context", "hot").agg(times.alias("times"), F.min(F.struct(*_PLACE, "last", "place")).alias("one")).select("anchor", "times", "hot", "one.*")
     wanted = scratch.table(unsure.groupBy("id", "text_hash").agg(F.collect_list(F.struct("anchor", "times", "hot", "first", "last", "place")).alias("contexts")), "wanted")
     scratch.drop("rows", "kinds")
 
@@ -260,7 +283,7 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, length: int = LENGTH, k:
 
     hot = narrowed(parts.where("hot").drop("hot"), scratch, length, keep_first)
     scratch.drop("contexts")
-    return found.unionByName(near).unionByName(hot)
+    return in_segments.unionByName(found).unionByName(near).unionByName(hot)
 
 
 def _merge(low: np.ndarray, high: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -292,7 +315,7 @@ def runs(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int =
 
     listed = found.groupBy("id", "text_hash").agg(F.collect_list(F.struct("low", "high")).alias("windows"))
     spans = scratch.table(listed.mapInArrow(merged, "id bigint, text_hash bigint, runs array<struct<start:int,end:int>>"), "runs").withColumnsRenamed({"id": "__id", "text_hash": "__hash", "runs": "__runs"})
-    scratch.drop("found_whole", "near", *(f"repeats{k}" for k in range(3)))
+    scratch.drop("in_segments", "found_whole", "near", *(f"repeats{k}" for k in range(3)))
     both = docs.withColumns({"__k": own_key, "__t": F.xxhash64(docs[text])})
     return both.join(spans, (both["__k"] == spans["__id"]) & (both["__t"] == spans["__hash"]), "left").drop("__k", "__t", "__id", "__hash")
 
