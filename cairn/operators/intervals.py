@@ -56,26 +56,53 @@ def gaps(ranges: DataFrame, by: list[str], end, least: int, low: str = "low", hi
     return inner.unionByName(last).where(F.col("g_high") - F.col("g_low") > least).select(*by, F.col("g_low").alias(low), F.col("g_high").alias(high))
 
 
-def first_fit(requests: DataFrame, free: DataFrame, by: str) -> DataFrame:
+def rooms(spans: list[list[int]]) -> tuple[int, list[int]]:
+    """The lengths of ranges as leaves of a tree of maxima: its number of leaves and the tree, with the root at 1."""
+    leaves = 1 << max(0, len(spans) - 1).bit_length()
+    tree = [-1] * leaves + [high - low for low, high in spans] + [-1] * (leaves - len(spans))
+    for i in range(leaves - 1, 0, -1):
+        tree[i] = max(tree[2 * i], tree[2 * i + 1])
+    return leaves, tree
+
+
+def first_fit(requests: DataFrame, free: DataFrame, by: str, total: int | None = None) -> DataFrame:
     """Gives each request of an owner the beginning of the first free range that is long enough, or -1. The free room
     after one request decides the next, so that an owner's requests are taken one after the other. Owners run side by
-    side: each partition is a stream of owners, with an owner's free ranges before its requests."""
+    side: each partition is a stream of owners, with an owner's free ranges before its requests. A tree of maxima over
+    the free ranges finds the first one, so that a large owner's requests don't each pass all of its ranges.
+
+    total: the clusters of an owner's volume. The first and the last one are then never given away, and max(64, 1 %) of
+    the clusters stay free: a request that would leave less gets -1, and smaller ones behind it are still placed."""
     rows = free.select(by, F.lit(0).alias("kind"), F.col("low").alias("a"), F.col("high").alias("b")).unionByName(requests.select(by, F.lit(1).alias("kind"), F.col("request").alias("a"), F.col("clusters").alias("b")))
+    reserve = 0 if total is None else max(64, total // 100)
 
     def place(batches):
-        owner, spans = None, []
+        owner, spans, tree = None, [], None
         for batch in batches:
             out = []
             for o, kind, a, b in zip(batch[by], batch["kind"], batch["a"], batch["b"]):
                 if o != owner:
-                    owner, spans = o, []
+                    owner, spans, tree = o, [], None
                 if kind == 0:
-                    spans.append([a, b])
+                    low, high = (a, b) if total is None else (max(a, 1), min(b, total - 1))
+                    if low < high:
+                        spans.append([low, high])
+                    continue
+                if tree is None:
+                    leaves, tree = rooms(spans)
+                    left = sum(high - low for low, high in spans) - reserve
+                if b > left or b > tree[1]:
+                    out.append((o, a, -1))
                     continue
-                at = next((s for s in spans if s[1] - s[0] >= b), None)
-                out.append((o, a, -1 if at is None else at[0]))
-                if at is not None:
-                    at[0] += b
+                i = 1
+                while i < leaves:
+                    i = 2 * i + (tree[2 * i] < b)
+                at = spans[i - leaves]
+                out.append((o, a, at[0]))
+                at[0], left, tree[i] = at[0] + b, left - b, tree[i] - b
+                while i > 1:
+                    i //= 2
+                    tree[i] = max(tree[2 * i], tree[2 * i + 1])
             yield pd.DataFrame(out, columns=[by, "request", "placed"])
 
     kind = dict(requests.dtypes)[by]

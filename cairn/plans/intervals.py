@@ -90,11 +90,12 @@ def i9_overlapping_pairs(lineitem):
 
 @query(None, "ranges")
 def i10_first_fit(ranges):
-    """Requests of an owner placed into its gaps. Each placement depends on those before, which SQL can't tell."""
+    """All requests of an owner placed into the gaps of its 4096 clusters, with a reserve. Each placement depends on those
+    before, which SQL can't tell."""
     free = ops.gaps(ops.merged(ranges, ["owner"]), ["owner"], 4096, 0)
     nth = F.row_number().over(Window.partitionBy("owner").orderBy("low", "high"))
-    wanted = ranges.withColumn("request", nth.cast("long")).where("request <= 10").select("owner", "request", ((F.col("high") - F.col("low")) * 3).alias("clusters"))
-    return ops.first_fit(wanted, free, "owner")
+    wanted = ranges.withColumn("request", nth.cast("long")).select("owner", "request", ((F.col("high") - F.col("low")) * 3).alias("clusters"))
+    return ops.first_fit(wanted, free, "owner", 4096)
 
 
 @query("SELECT owner, low, least(high, (low // 64 + 1) * 64) AS high, 0 AS half FROM ranges UNION ALL SELECT owner, (low // 64 + 1) * 64, high, 1 FROM ranges WHERE high > (low // 64 + 1) * 64", "ranges")
