@@ -96,8 +96,13 @@ def u1_retention_union(catalog):
 @query(UP + "SELECT up.ancestor AS target, up.id AS point, CAST(up.distance AS INT) AS depth FROM up WHERE up.ancestor % 200 = 3", "catalog")
 def g5_descendants(catalog):
     """Everything that builds on some targets; children come before parents when ordered by depth, deepest first."""
-    points = visible(catalog)
-    pairs = graph.ancestors(points, "file_id", "parent_id").where("ancestor % 200 = 3")
+    return g5_descendants_all(catalog).where("target % 200 = 3")
+
+
+@query(UP + "SELECT up.ancestor AS target, up.id AS point, CAST(up.distance AS INT) AS depth FROM up", "catalog")
+def g5_descendants_all(catalog):
+    """Everything that builds on each visible point."""
+    pairs = graph.ancestors(visible(catalog), "file_id", "parent_id")
     return pairs.select(F.col("ancestor").alias("target"), F.col("id").alias("point"), F.col("distance").alias("depth"))
 
 
@@ -105,8 +110,17 @@ def g5_descendants(catalog):
 SELECT target, point, depth, CASE WHEN k = 0 THEN '.bhx' WHEN k < 1000 THEN concat('.', lpad(CAST(1000 - k AS VARCHAR), 3, '0')) ELSE 'main' END AS member, k AS ordinal
 FROM m, unnest(range(0, 1001)) r(k) WHERE (k = 0 AND has_sidecar) OR (k > 0 AND k < 1000 AND 1000 - k < parts) OR k = 1000""", "catalog")
 def g6_delete_plan(catalog):
-    """What has to go with a target, member by member: the sidecar, the parts from the last, the main file at the end."""
-    plan = g5_descendants(catalog).join(visible(catalog).select(F.col("file_id").alias("point"), "parts", "has_sidecar"), "point")
+    """What has to go with some targets, member by member."""
+    return g6_delete_plan_all(catalog).where("target % 200 = 3")
+
+
+@query(UP + """, m AS (SELECT up.ancestor AS target, up.id AS point, CAST(up.distance AS INT) AS depth, v.parts, v.has_sidecar FROM up JOIN v ON v.file_id = up.id)
+SELECT target, point, depth, CASE WHEN k = 0 THEN '.bhx' WHEN k < 1000 THEN concat('.', lpad(CAST(1000 - k AS VARCHAR), 3, '0')) ELSE 'main' END AS member, k AS ordinal
+FROM (SELECT target, point, depth, unnest(list_concat(CASE WHEN has_sidecar THEN CAST([0] AS BIGINT[]) ELSE CAST([] AS BIGINT[]) END, range(1001 - parts, 1001))) AS k FROM m) x""", "catalog")
+def g6_delete_plan_all(catalog):
+    """What has to go with each visible point, member by member: the sidecar, the parts from the last, the main file at
+    the end."""
+    plan = g5_descendants_all(catalog).join(visible(catalog).select(F.col("file_id").alias("point"), "parts", "has_sidecar"), "point")
     sidecar = F.when(F.col("has_sidecar"), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
     parts = F.when(F.col("parts") > 1, F.transform(F.sequence(F.lit(1), F.col("parts") - 1), lambda p: 1000 - p)).otherwise(F.array().cast("array<int>"))
     k = F.explode(F.concat(sidecar, parts, F.array(F.lit(1000))))

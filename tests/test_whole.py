@@ -1,5 +1,6 @@
 """Queries that once answered for a part of their rows, against brute-force versions over all of them."""
 
+from cairn.plans import graph as graph_plans
 from cairn.operators import intervals
 from cairn.plans import intervals as plans
 
@@ -36,3 +37,34 @@ def test_first_fit_keeps_reserve_and_outer_clusters(spark):
     wanted = spark.createDataFrame([(1, i, n) for i, n in enumerate(sizes)], "owner long, request long, clusters long")
     found = intervals.first_fit(wanted, ranges(spark, [(1, 0, 60), (1, 100, 310), (1, 395, 400)]), "owner", 400)
     assert [r["placed"] for r in sorted(found.collect())] == placed_by_bitmap([(60, 100), (310, 395)], sizes, 400)
+
+
+def points(spark, n=420):
+    """Chains in which each point names one before it, now and then none, and 97 and 194 are hidden."""
+    rows = [(i, i % 4, 1, 1000 + i, None if i % 23 == 1 else max(1, i - 1 - i % 3), 1 if i % 23 == 1 else 2, i % 3 + 1, i % 2 == 0) for i in range(1, n)]
+    return spark.createDataFrame(rows, "file_id long, backup_set long, content_kind int, created_ms long, parent_id long, backup_type int, parts int, has_sidecar boolean")
+
+
+def walked(df):
+    """Each visible point with the points up from it, itself first."""
+    seen = {r["file_id"]: r for r in df.collect() if r["file_id"] % 97}
+    up = {}
+    for i in seen:
+        up[i], at = [], i
+        while at in seen:
+            up[i].append(at)
+            at = seen[at]["parent_id"]
+    return seen, up
+
+
+def test_every_point_has_its_subtree_and_its_delete_plan(spark):
+    df = points(spark)
+    seen, up = walked(df)
+    below = {(t, i, d) for i, chain in up.items() for d, t in enumerate(chain)}
+    found = [tuple(r) for r in graph_plans.g5_descendants_all(df).collect()]
+    assert len(found) == len(below) and set(found) == below
+    members = lambda r: [".bhx"] * r["has_sidecar"] + [f".{p:03d}" for p in range(r["parts"] - 1, 0, -1)] + ["main"]
+    plans_found = {}
+    for r in sorted(graph_plans.g6_delete_plan_all(df).collect()):
+        plans_found.setdefault((r["target"], r["point"], r["depth"]), []).append((r["ordinal"], r["member"]))
+    assert {k: [m for _, m in sorted(v)] for k, v in plans_found.items()} == {k: members(seen[k[1]]) for k in below}
