@@ -53,7 +53,13 @@ def g1_graph_summary(catalog):
 @query(UP + "SELECT up.id AS tip, up.ancestor AS point, CAST(top.depth - up.distance AS INT) AS nth FROM up JOIN top ON top.id = up.id WHERE up.id % 50 = 1", "catalog")
 def g2_chain_base_first(catalog):
     """The chains of some tips with the base first."""
-    pairs = graph.ancestors(visible(catalog), "file_id", "parent_id").where("id % 50 = 1")
+    return g2_chain_base_first_all(catalog).where("tip % 50 = 1")
+
+
+@query(UP + "SELECT up.id AS tip, up.ancestor AS point, CAST(top.depth - up.distance AS INT) AS nth FROM up JOIN top ON top.id = up.id", "catalog")
+def g2_chain_base_first_all(catalog):
+    """The chain of each visible point with the base first."""
+    pairs = graph.ancestors(visible(catalog), "file_id", "parent_id")
     depth = F.max("distance").over(Window.partitionBy("id"))
     return pairs.select(F.col("id").alias("tip"), F.col("ancestor").alias("point"), (depth - F.col("distance")).alias("nth"))
 
@@ -147,10 +153,16 @@ def g8_incremental_parent(catalog):
 
 @query(UP + ", s AS (SELECT up.id, count(DISTINCT v.backup_set) AS sets, count(*) AS n FROM up JOIN v ON v.file_id = up.ancestor GROUP BY up.id) SELECT top.id AS file_id, top_type = 1 AND sets = 1 AND n <= 129 AS usable FROM top JOIN s ON s.id = top.id WHERE top.id % 3 = 0", "catalog")
 def g9_volume_parent(catalog):
+    """Some points, judged as in g9_volume_parent_all."""
+    return g9_volume_parent_all(catalog).where("file_id % 3 = 0")
+
+
+@query(UP + ", s AS (SELECT up.id, count(DISTINCT v.backup_set) AS sets, count(*) AS n FROM up JOIN v ON v.file_id = up.ancestor GROUP BY up.id) SELECT top.id AS file_id, top_type = 1 AND sets = 1 AND n <= 129 AS usable FROM top JOIN s ON s.id = top.id", "catalog")
+def g9_volume_parent_all(catalog):
     """A tip is usable if all points of its chain are of one set, none repeats, and the last one is full."""
     points = visible(catalog)
     sets = points.select(F.col("file_id").alias("ancestor"), "backup_set")
-    pairs = graph.ancestors(points, "file_id", "parent_id").where("id % 3 = 0")
+    pairs = graph.ancestors(points, "file_id", "parent_id")
     per = pairs.join(sets, "ancestor").groupBy("id").agg(F.min("backup_set").alias("low"), F.max("backup_set").alias("high"), F.count(F.lit(1)).alias("n"))
     return per.join(chains(catalog).select("id", "complete"), "id").select(F.col("id").alias("file_id"), (F.col("complete") & (F.col("low") == F.col("high")) & (F.col("n") <= 129)).alias("usable"))
 

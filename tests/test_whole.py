@@ -68,3 +68,13 @@ def test_every_point_has_its_subtree_and_its_delete_plan(spark):
     for r in sorted(graph_plans.g6_delete_plan_all(df).collect()):
         plans_found.setdefault((r["target"], r["point"], r["depth"]), []).append((r["ordinal"], r["member"]))
     assert {k: [m for _, m in sorted(v)] for k, v in plans_found.items()} == {k: members(seen[k[1]]) for k in below}
+
+
+def test_every_point_has_its_chain_and_its_verdict(spark):
+    df = points(spark)
+    seen, up = walked(df)
+    found = [tuple(r) for r in graph_plans.g2_chain_base_first_all(df).collect()]
+    assert sorted(found) == sorted((i, p, n) for i, chain in up.items() for n, p in enumerate(reversed(chain)))
+    usable = {i: seen[c[-1]]["backup_type"] == 1 and len({seen[p]["backup_set"] for p in c}) == 1 and len(c) <= 129 for i, c in up.items()}
+    found = [tuple(r) for r in graph_plans.g9_volume_parent_all(df).collect()]
+    assert len(found) == len(usable) and dict(found) == usable
