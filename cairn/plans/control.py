@@ -316,6 +316,14 @@ def n6_first_match(ranges, part):
     return asked.join(declared, ["disk", "p_size"]).groupBy("owner", "low").agg(F.min("p_partkey").alias("partition_id"))
 
 
+@query("SELECT r.owner, r.low, min(p.p_partkey) AS partition_id FROM (SELECT DISTINCT owner, low FROM ranges) r JOIN part p ON p.p_partkey % 20 = r.owner % 20 AND p.p_size = r.low % 50 + 1 GROUP BY r.owner, r.low", "ranges", "part")
+def n6_first_match_all(ranges, part):
+    """The first matching partition for the ranges of every owner."""
+    asked = ranges.select("owner", "low", (F.col("owner") % 20).alias("disk"), (F.col("low") % 50 + 1).cast("int").alias("p_size")).distinct()
+    declared = part.groupBy((F.col("p_partkey") % 20).alias("disk"), "p_size").agg(F.min("p_partkey").alias("partition_id"))
+    return asked.join(declared, ["disk", "p_size"]).select("owner", "low", "partition_id")
+
+
 @query("SELECT folder, entry_id, nth FROM (SELECT folder, entry_id, row_number() OVER (PARTITION BY folder ORDER BY name, entry_id) AS nth FROM new_files WHERE name NOT IN ('order-0', 'order-1')) x WHERE nth > 3 AND nth <= 8", "new_files")
 def s12_browse_live_source(new_files):
     """Children of a folder without hidden rows, five behind an offset of three."""

@@ -172,3 +172,11 @@ def j12_uncovered_partitions(part, ranges):
     p = part.select(F.col("p_partkey").alias("partition_id"), (F.col("p_partkey") % 20).alias("disk"), (F.col("p_size") * 40).cast("long").alias("b_low"), (F.col("p_size") * 40 + 60).cast("long").alias("b_high"))
     volumes = ranges.where("owner % 50 = 0").select((F.col("owner") % 20).alias("disk"), "low", "high").distinct()
     return p.select("partition_id").join(ops.overlapping(volumes, p, ["disk"], 128).select("partition_id"), "partition_id", "left_anti")
+
+
+@query("""SELECT p_partkey AS partition_id FROM part WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT owner % 20 AS disk, low, high FROM ranges) r WHERE r.disk = p_partkey % 20 AND r.low < p_size * 40 + 60 AND p_size * 40 < r.high)""", "part", "ranges")
+def j12_uncovered_partitions_all(part, ranges):
+    """Partitions that no volume of any owner lies on. Of the volumes that begin at one place the longest tells."""
+    p = part.select(F.col("p_partkey").alias("partition_id"), (F.col("p_partkey") % 20).alias("disk"), (F.col("p_size") * 40).cast("long").alias("b_low"), (F.col("p_size") * 40 + 60).cast("long").alias("b_high"))
+    volumes = ranges.groupBy((F.col("owner") % 20).alias("disk"), "low").agg(F.max("high").alias("high"))
+    return p.select("partition_id").join(ops.overlapping(volumes, p, ["disk"], 128).select("partition_id"), "partition_id", "left_anti")

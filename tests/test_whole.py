@@ -1,5 +1,6 @@
 """Queries that once answered for a part of their rows, against brute-force versions over all of them."""
 
+from cairn.plans import control
 from cairn.plans import graph as graph_plans
 from cairn.operators import intervals
 from cairn.plans import intervals as plans
@@ -78,3 +79,13 @@ def test_every_point_has_its_chain_and_its_verdict(spark):
     usable = {i: seen[c[-1]]["backup_type"] == 1 and len({seen[p]["backup_set"] for p in c}) == 1 and len(c) <= 129 for i, c in up.items()}
     found = [tuple(r) for r in graph_plans.g9_volume_parent_all(df).collect()]
     assert len(found) == len(usable) and dict(found) == usable
+
+
+def test_volumes_of_every_owner_count(spark):
+    part = [(i, i * 7 % 50 + 1) for i in range(1, 101)]
+    df = [(o, o * 131 % 2000 + 40 * k, o * 131 % 2000 + 40 * k + 1 + o % 9) for o in range(1, 90) for k in range(2)]
+    parts, rows = spark.createDataFrame(part, "p_partkey long, p_size int"), ranges(spark, df)
+    bare = [p for p, n in part if not any(o % 20 == p % 20 and low < n * 40 + 60 and n * 40 < high for o, low, high in df)]
+    assert sorted(r[0] for r in plans.j12_uncovered_partitions_all(parts, rows).collect()) == bare
+    first = {(o, low): min(m) for o, low, _ in df if (m := [p for p, n in part if p % 20 == o % 20 and n == low % 50 + 1])}
+    assert bare and first and {(r[0], r[1]): r[2] for r in control.n6_first_match_all(rows, parts).collect()} == first
