@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.errors import Conflict
-from cairn.operators import filters, paging
+from cairn.operators import filters, graph, paging
 from cairn.operators.lineage import settle
 from cairn.plans.catalog import query
 
@@ -111,6 +111,14 @@ def o11_restore_order(entries):
     return entries.select("entry_id", "kind", level.alias("level")).orderBy("kind", "level", "entry_id").limit(100)
 
 
+@query("""WITH RECURSIVE d AS (SELECT entry_id, 0 AS depth FROM entries WHERE kind = 1 AND parent_id IS NULL UNION ALL SELECT e.entry_id, d.depth + 1 FROM entries e JOIN d ON e.parent_id = d.entry_id WHERE e.kind = 1)
+SELECT e.entry_id, e.kind, d.depth, row_number() OVER (ORDER BY e.kind, d.depth, e.entry_id) AS nth FROM entries e LEFT JOIN d ON d.entry_id = e.entry_id""", "entries")
+def o11_restore_order_all(entries):
+    """Each entry's place: folders by their depth in the tree and id, then files by id. Files have no depth here."""
+    depths = graph.tops(entries.where("kind = 1"), "entry_id", "parent_id", 64).select(F.col("id").alias("entry_id"), "depth")
+    return ranked_globally(entries.select("entry_id", "kind").join(depths, "entry_id", "left"), ["kind", "depth", "entry_id"], "nth").select("entry_id", "kind", "depth", "nth")
+
+
 @query("SELECT entry_id FROM entries WHERE kind = 2 ORDER BY entry_id LIMIT 10000", "entries")
 def o13_capped_selection(entries):
     return entries.where("kind = 2").select("entry_id").orderBy("entry_id").limit(10_000)

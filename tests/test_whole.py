@@ -89,3 +89,19 @@ def test_volumes_of_every_owner_count(spark):
     assert sorted(r[0] for r in plans.j12_uncovered_partitions_all(parts, rows).collect()) == bare
     first = {(o, low): min(m) for o, low, _ in df if (m := [p for p, n in part if p % 20 == o % 20 and n == low % 50 + 1])}
     assert bare and first and {(r[0], r[1]): r[2] for r in control.n6_first_match_all(rows, parts).collect()} == first
+
+
+def tree(spark):
+    """Folders whose ids don't tell their depth, and files among them."""
+    rows = [(5, None, 1), (90, 700, 1), (700, 2000, 1), (2000, 5, 1), (3, 90, 1), (8, 5, 1), (1, 3, 2), (4000, 8, 2), (2, 5, 2)]
+    rows += [(10_000 + i, 8, 2) for i in range(200)]
+    return rows, spark.createDataFrame(rows, "entry_id long, parent_id long, kind int")
+
+
+def test_restore_order_has_every_entry(spark):
+    rows, df = tree(spark)
+    up = {i: p for i, p, _ in rows}
+    depth = lambda i: 0 if up[i] is None else 1 + depth(up[i])
+    order = sorted(rows, key=lambda r: (r[2], depth(r[0]) if r[2] == 1 else 0, r[0]))
+    found = sorted(control.o11_restore_order_all(df).collect(), key=lambda r: r["nth"])
+    assert [(r["entry_id"], r["kind"], r["depth"], r["nth"]) for r in found] == [(i, k, depth(i) if k == 1 else None, n) for n, (i, _, k) in enumerate(order, 1)]
