@@ -280,6 +280,15 @@ def o12_post_order(entries):
     return pairs.groupBy(F.col("ancestor").alias("entry_id")).agg(F.max("distance").alias("height"))
 
 
+@query("""WITH RECURSIVE p AS (SELECT entry_id, parent_id, 0 AS height FROM entries
+UNION ALL SELECT e.entry_id, e.parent_id, p.height + 1 FROM entries e JOIN p ON e.entry_id = p.parent_id)
+SELECT entry_id, CAST(max(height) AS INT) AS height FROM p GROUP BY entry_id""", "entries")
+def o12_post_order_all(entries):
+    """The height of every entry, files and empty folders among them."""
+    pairs = graph.ancestors(entries, "entry_id", "parent_id", 64)
+    return pairs.groupBy(F.col("ancestor").alias("entry_id")).agg(F.max("distance").alias("height"))
+
+
 @query("""WITH RECURSIVE down AS (SELECT entry_id, kind, size FROM entries WHERE entry_id IN (103, 1004) UNION SELECT e.entry_id, e.kind, e.size FROM entries e JOIN down ON e.parent_id = down.entry_id)
 SELECT count(*) AS entries_found, CAST(sum(CASE WHEN kind = 2 THEN size ELSE 0 END) AS BIGINT) AS logical_size, max(CASE WHEN kind = 2 THEN size END) AS largest FROM down""", "entries")
 def a18_restore_totals(entries):

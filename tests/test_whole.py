@@ -1,5 +1,6 @@
 """Queries that once answered for a part of their rows, against brute-force versions over all of them."""
 
+from cairn.plans import dml
 from cairn.plans import control
 from cairn.plans import graph as graph_plans
 from cairn.operators import intervals
@@ -105,3 +106,13 @@ def test_restore_order_has_every_entry(spark):
     order = sorted(rows, key=lambda r: (r[2], depth(r[0]) if r[2] == 1 else 0, r[0]))
     found = sorted(control.o11_restore_order_all(df).collect(), key=lambda r: r["nth"])
     assert [(r["entry_id"], r["kind"], r["depth"], r["nth"]) for r in found] == [(i, k, depth(i) if k == 1 else None, n) for n, (i, _, k) in enumerate(order, 1)]
+
+
+def test_every_entry_has_a_height_and_every_point_a_next_step(spark):
+    rows, df = tree(spark)
+    height = lambda i: max((1 + height(c) for c, p, _ in rows if p == i), default=0)
+    assert sorted(tuple(r) for r in graph_plans.o12_post_order_all(df).collect()) == sorted((i, height(i)) for i, _, _ in rows)
+    gone = [10, 11, 97, 300]
+    tombstones = spark.createDataFrame([(i * 10, i) for i in gone], "operation_id long, file_id long")
+    found = sorted(tuple(r) for r in dml.z7_delete_resume_all(points(spark), tombstones).collect())
+    assert found == [(i, "plan" if i not in gone else "resume" if i % 2 else "done") for i in range(1, 420)]
