@@ -10,9 +10,8 @@ of the same k bytes alone.
    are decided by that. Anchors whose bytes occur once have no repeated windows.
 2. What is left are contexts that share their anchor but not all bytes, such as the ends of copies and texts with small
    changes. One context of each kind goes to the task of its anchor, which builds a suffix array over all contexts it
-   got, and from it the longest-previous-factor array: the previous and the next smaller position in suffix order give
-   the longest match with an earlier place. A window repeats if an earlier place matches all of it, or if it is such an
-   earlier place itself. ``keep_first`` leaves the first place.
+   got. Places whose neighbour in suffix order is equal over the window's length make a group, and all windows of a
+   group repeat; no longest-previous-factor array is built. ``keep_first`` leaves the first place.
 3. An anchor with more than ``max_contexts`` different contexts would be too much for one task: its contexts are cut into
    ever narrower pieces, whose hashes are counted by partial sums (see narrowed()).
 4. Per text, the windows that repeat are merged into runs, which are cut out.

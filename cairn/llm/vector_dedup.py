@@ -2,7 +2,8 @@
 
 Pivots are vectors of the table, taken from a bounded sample by hash and thinned so that no two of them are close.
 Every vector is described by its ``depth`` nearest pivots in order. Inverted lists, one for each label and pivot, bring
-together the vectors that have the pivot; there, pairs that share at least ``min_shared`` pivots are candidates, and
+together the vectors that have the pivot; there, pairs that share at least ``min_shared`` pivots (one, if there are few
+pivots of their length; all are in one list, if there are none) are candidates, and
 their cosine decides in double precision. A pair is counted in the list of its smallest shared pivot alone. Lists of
 more than BLOCK vectors are split into pairs of blocks. Equal vectors of a label are one class and are counted by number.
 
@@ -53,7 +54,7 @@ def nearest(vectors: np.ndarray, pivots: np.ndarray, depth: int) -> np.ndarray:
 _TASK = ["space", "pivot", "block_i", "block_j"]
 
 
-def _lists(table: pa.Table, threshold: float, min_shared: int):
+def _lists(table: pa.Table, threshold: float, min_shared: dict[int, int]):
     at = bounds(table, _TASK)
     ids, times, side, pivot = (table.column(c).to_numpy() for c in ("id", "times", "side", "pivot"))
     apart = table.column("block_i").to_numpy() != table.column("block_j").to_numpy()
@@ -68,7 +69,7 @@ def _lists(table: pa.Table, threshold: float, min_shared: int):
         has = np.zeros((hi - lo, len(names)), np.float32)
         has[np.arange(hi - lo)[:, None], local.reshape(near.shape)] = 1
         smaller = has[:, names < pivot[lo]]
-        pairs = np.triu((has @ has.T >= min_shared) & (smaller @ smaller.T == 0), 1)
+        pairs = np.triu((has @ has.T >= min_shared.get(x.shape[1], 1)) & (smaller @ smaller.T == 0), 1)
         if apart[lo]:
             pairs &= side[lo:hi][:, None] != side[lo:hi][None, :]
         i, j = np.nonzero(pairs)
@@ -133,7 +134,7 @@ def link(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", lab
 
     told = classes.select("space", F.col("least").alias("id"), "times", "vector").mapInArrow(describe, "space bigint, id bigint, times bigint, pivots array<int>, vector binary")
     told = scratch.table(told, "described")
-    least_shared = min_shared if all(len(p) > 2 * depth for p in spaces.values()) else 1
+    least_shared = {length: min_shared for length, p in spaces.items() if len(p) > 2 * depth}
     postings = told.select("space", "id", "times", "pivots", "vector", F.explode(F.col("pivots").cast("array<bigint>")).alias("pivot"))
     tasks = block_pairs(postings, ["space", "pivot"], "id", BLOCK, scratch, "lists")
     found = scratch.table(by_group(tasks, _TASK, lambda t: _lists(t, threshold, least_shared), "id bigint, root bigint, links bigint", few=2048), "found")

@@ -53,3 +53,14 @@ def test_recall_on_the_data_folder(spark, data):
     wanted = cosine_links(rows)
     got = links(vector_dedup.link(df))
     assert sum(n for n, _ in got.values()) >= 0.9 * sum(n for n, _ in wanted.values())
+
+
+def test_lengths_without_pivots_still_link(spark, monkeypatch):
+    """The sample of pivots is so small that it misses the length of two vectors."""
+    monkeypatch.setattr(vector_dedup, "SAMPLE", 40)
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(size=16)], 0) for i in range(400)]
+    rows += [(4000 + i, [1.0, 1.0, 2.0 + i / 1000], 0) for i in range(2)]
+    got, wanted = links(vector_dedup.link(spark.createDataFrame([(*r, 1, 2) for r in rows], SCHEMA))), cosine_links(rows)
+    assert {i: got[i] for i in got if i >= 4000} == {i: wanted[i] for i in wanted if i >= 4000}
+    assert all(got[i][0] == 1 for i in got if i >= 4000)
