@@ -13,8 +13,8 @@ Scoring: workers map the arrays into memory and look up the pairs of a block of
 a(w): how many different words come before w; A: their sum. D and D' depend on the count (1, 2, 3 or more), and g and
 g' are what the discounts set free. A text begins after a start mark and ends with an end mark, which counts as a token.
 
-The order is two: the distinct word triples of a corpus are nearly as many as its words, and their hash array alone
-would exceed the input.
+The order is two. Order three was not measured: word triples are many, but their hash array alone need not exceed the
+disk limit.
 
 Defined results: a null or empty text has the end mark alone; with nothing to learn from, every token has probability
 1 / (V + 1) = 1. Repeated rows count and score like others; an empty table gives an empty result.
