@@ -84,6 +84,18 @@ def need(df: DataFrame, *columns: str) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
+def new_names(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        name = f"__{stem}"
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def ascii_lower(column):
     """Lower-cases A-Z alone, natively. Texts without other letters take the fast path of lower()."""
     return F.when(F.length(column) == F.octet_length(column), F.lower(column)).otherwise(F.translate(column, UPPER, UPPER.lower()))

@@ -1,24 +1,25 @@
-"""Removal of long byte strings that occur more than once, by suffix arrays over anchored contexts.
+"""Removal of long byte strings that occur more than once, by longest-previous-factor arrays over anchored contexts.
 
 Every window of ``length`` bytes chooses an anchor: its k-byte string of least hash, the first of equals. Windows that
 are equal choose the same anchor at the same place, so that an anchor's windows need be compared with those of anchors
-of the same k bytes alone.
-
-1. Neighbouring anchors make a segment, which ends at anchors of certain hashes. Segments that are equal in all bytes
-   are decided at once: all their windows repeat, and one of them goes on for the others. An anchor that goes on is a
-   row of two hashes: of its k bytes, and of its context, which is all bytes of its windows. Contexts that occur twice
-   are decided by that. Anchors whose bytes occur once have no repeated windows.
-2. What is left are contexts that share their anchor but not all bytes, such as the ends of copies and texts with small
-   changes. One context of each kind goes to the task of its anchor, which builds a suffix array over all contexts it
-   got. Places whose neighbour in suffix order is equal over the window's length make a group, and all windows of a
-   group repeat; no longest-previous-factor array is built. ``keep_first`` leaves the first place.
-3. An anchor with more than ``max_contexts`` different contexts would be too much for one task: its contexts are cut into
-   ever narrower pieces, whose hashes are counted by partial sums (see narrowed()).
-4. Per text, the windows that repeat are merged into runs, which are cut out.
-
-Defined results: a null text is empty; texts shorter than ``length`` stay as they are. Rows of one id but different texts are told
-apart; rows equal in id and text are separate rows, whose windows all repeat (with ``keep_first`` they share the
-first place and are both cut like it). An empty table gives an empty result.
+of the same k bytes alone. An anchor's context is all bytes of its windows.
+
+1. Anchors are counted by their hash. Those that occur once have no repeated windows; the places of the others are
+   listed for each text. Of texts that are equal as a whole, one goes on and counts as two.
+2. Texts meet their lists once. The contexts of a batch of texts are put together first: a row for each different
+   context of the batch, with its places. A context of very many places is so many rows as there are batches.
+3. Equal contexts are one class, with the number and the first of its places. If an anchor has several classes, their
+   bytes go to its task: it builds a suffix array over them and, from the previous and next smaller places in suffix
+   order, the longest-previous-factor array. A window repeats if its factor is as long as the window.
+4. An anchor with more than ``max_contexts`` classes would be too much for one task: they are cut into ever narrower
+   pieces, whose hashes are counted by partial sums (see narrowed()).
+5. Classes of several places are told to the batches that have them. Per text, the windows that repeat are merged into
+   runs, which are cut out.
+
+Defined results: a null text is empty; texts shorter than ``length`` stay as they are. Rows of one id but different
+texts are told apart. Rows equal in id and text are separate rows: their windows all repeat, and ``keep_first`` leaves
+one of them as the first. First is the smallest id, then the smallest hash of the text, then the earliest place. An
+empty table gives an empty result. Columns of docs stay whatever their names are.
 """
 
 from __future__ import annotations
@@ -29,17 +30,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import bytetext
-from cairn.llm.common import Scratch, need, tune
+from cairn.llm.common import Scratch, need, new_names, tune
 from cairn.llm.groups import bounds, by_group
 
 LENGTH = 200
-ANCHOR = 32
+ANCHOR = 64
 MAX_CONTEXTS = 256
-SEGMENT = 8  # anchors in a segment, on average
+UNITS = 2000  # rows in a batch of contexts
 TEXT_BLOCK = 1 << 19
 SUFFIX_BLOCK = 1 << 20  # bytes of contexts in one suffix array
 
@@ -76,37 +78,112 @@ def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _segments(batches, length: int, k: int):
-    """One row for each segment, which is a run of anchors that begins at one whose hash is divisible by SEGMENT, with
-    its anchors. Places are counted from the text's beginning."""
-    digest = xxhash.xxh3_64_intdigest
+def _spot(place, first, last) -> np.ndarray:
+    """An anchor's place, how far before it its first window starts, and how many more windows there are, as one number."""
+    return (place << 32) | ((place - first) << 16) | (last - first)
+
+
+def _of_spot(spot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    place = spot >> 32
+    first = place - ((spot >> 16) & 0xFFFF)
+    return place, first, first + (spot & 0xFFFF)
+
+
+def _anchors(batches, length: int, k: int):
+    """A row for each anchor of each text. Places are counted from the text's beginning."""
     for batch in batches:
-        data, offsets = bytetext.buffers(batch.column(2))
-        ids, texts = batch.column(0), batch.column(1)
+        data, offsets = bytetext.buffers(batch.column(1))
         for lo, hi in bytetext.chunks(offsets, TEXT_BLOCK):
             own = offsets[lo : hi + 1]
-            piece, own = data[own[0] : own[-1]], own - own[0]
-            text, place, first, last, key = anchors(piece, own, length, k)
-            if not len(text):
-                continue
-            view = memoryview(np.ascontiguousarray(piece))
-            hashed = lambda a, b, seed: np.fromiter((digest(view[x:y], z) for x, y, z in zip(a.tolist(), (b + length).tolist(), seed.tolist())), np.uint64, len(a))
-            context = hashed(first, last, place - first)
-            new = key % np.uint64(SEGMENT) == 0
-            new[0] = True
-            new[1:] |= text[1:] != text[:-1]
-            at = np.flatnonzero(new)
-            end = np.append(at[1:], len(text))
-            whole = hashed(first[at], last[end - 1], last[end - 1] - first[at])
-            base = own[:-1][text]
-            small = lambda x: pa.array(x.astype(np.int32))
-            members = pa.StructArray.from_arrays([pa.array(_signed(key)), pa.array(_signed(context)), small(place - base), small(first - base), small(last - base)], ["anchor", "context", "place", "first", "last"])
-            lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(text)).astype(np.int32)), members)
-            rows = pa.array(text[at] + lo)
-            yield pa.RecordBatch.from_arrays([ids.take(rows), texts.take(rows), pa.array(_signed(key[at])), pa.array(_signed(whole)), small(first[at] - base[at]), small(last[end - 1] - base[at]), lists], ["id", "text_hash", "head", "segment", "first", "last", "anchors"])
-
-
-_SEGMENTS = "id bigint, text_hash bigint, head bigint, segment bigint, first int, last int, anchors array<struct<anchor:bigint,context:bigint,place:int,first:int,last:int>>"
+            text, place, first, last, key = anchors(data[own[0] : own[-1]], own - own[0], length, k)
+            if len(text):
+                base = (own - own[0])[text]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text + lo)), pa.array(_signed(key)), pa.array(_spot(place - base, first - base, last - base))], ["doc", "anchor", "spot"])
+
+
+def _units(batches, length: int, k: int):
+    """A row for each different context of a batch of texts: its places, the first of them, and its bytes. Places whose
+    bytes are not the anchor's belong to another text of the same doc number and are left out."""
+    digest, task, count = xxhash.xxh3_64_intdigest, TaskContext.get().partitionId(), 0
+    for batch in batches:
+        ids, texts = (batch.column(c).to_numpy() for c in (0, 1))
+        data, offsets = bytetext.buffers(batch.column(2))
+        times = np.ones(len(ids), np.int64)
+        for r, told in enumerate(batch.column(4).to_pylist()):
+            for t in told or ():
+                if t["id"] == ids[r] and t["text_hash"] == texts[r]:
+                    times[r] = 2 if t["first"] else 0
+        lists = batch.column(3)
+        flat, at = lists.flatten(), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+        anchor, spot = (flat.field(c).to_numpy() for c in ("anchor", "spot"))
+        owner = np.repeat(np.arange(len(ids)), np.diff(at))
+        place, first, last = _of_spot(spot)
+        size = np.diff(offsets)[owner]
+        sound = (last + length <= size) & (times[owner] > 0)
+        for lo, hi in bytetext.chunks(offsets, TEXT_BLOCK):
+            rows = np.arange(at[lo], at[hi])[sound[at[lo] : at[hi]]]
+            start = offsets[owner[rows]] + place[rows] - offsets[lo]
+            sums = bytetext.prefix_sums(data[offsets[lo] : offsets[hi]])
+            sound[rows] = _signed(bytetext.span_hash(sums, start, start + k)) == anchor[rows]
+        rows = np.flatnonzero(sound)
+        if not len(rows):
+            continue
+        view = memoryview(np.ascontiguousarray(data))
+        start, end = (offsets[owner[rows]] + first[rows]).tolist(), (offsets[owner[rows]] + last[rows] + length).tolist()
+        context = _signed(np.fromiter((digest(view[a:b], c) for a, b, c in zip(start, end, (place[rows] - first[rows]).tolist())), np.uint64, len(rows)))
+        order = np.lexsort((spot[rows], texts[owner[rows]], ids[owner[rows]], context, anchor[rows]))
+        rows, context = rows[order], context[order]
+        new = np.ones(len(rows), bool)
+        new[1:] = (context[1:] != context[:-1]) | (anchor[rows[1:]] != anchor[rows[:-1]])
+        heads = np.append(np.flatnonzero(new), len(rows))
+        total = np.add.reduceat(times[owner[rows]], heads[:-1])
+        whose = owner[rows]
+        for lo in range(0, len(heads) - 1, UNITS):
+            part = heads[lo : lo + UNITS + 1]
+            one, many = part[:-1], slice(part[0], part[-1])
+            cut = pa.array((part - part[0]).astype(np.int32))
+            blobs = pa.array([bytes(view[start[order[i]] : end[order[i]]]) for i in one.tolist()], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(one), (task << 32) + count)), pa.array(anchor[rows[one]]), pa.array(context[one]), pa.array(total[lo : lo + len(one)]), pa.array(ids[whose[one]]), pa.array(texts[whose[one]]), pa.array(spot[rows[one]])]
+                + [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (ids[whose[many]], texts[whose[many]], spot[rows[many]])]
+                + [blobs],
+                _UNIT_NAMES,
+            )
+        count += 1
+
+
+_UNIT_NAMES = ["batch", "anchor", "context", "times", "id", "text_hash", "spot", "ids", "texts", "spots", "bytes"]
+_UNITS = "batch bigint, anchor bigint, context bigint, times bigint, id bigint, text_hash bigint, spot bigint, ids array<bigint>, texts array<bigint>, spots array<bigint>, bytes binary"
+_WINDOWS = "array<struct<low:int,high:int>>"
+_FOUND = f"id bigint, text_hash bigint, windows {_WINDOWS}"
+
+
+def _window_lists(low: np.ndarray, high: np.ndarray, at: np.ndarray) -> pa.ListArray:
+    pairs = pa.StructArray.from_arrays([pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], ["low", "high"])
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pairs)
+
+
+def _tell(table: pa.Table, keep_first: bool):
+    """For each text of a batch, the windows of its contexts that have several places (all but the first place)."""
+    at = bounds(table, ["batch"])
+    for lo, hi in zip(at[:-1], at[1:]):
+        rows = table.slice(lo, hi - lo).combine_chunks()
+        lists = [rows.column(c).combine_chunks() for c in ("ids", "texts", "spots")]
+        unit = np.repeat(np.arange(hi - lo), np.diff(np.asarray(lists[0].offsets)))
+        ids, texts, spots = (x.flatten().to_numpy() for x in lists)
+        if keep_first:
+            one = [rows.column(c).to_numpy()[unit] for c in ("one_id", "one_text", "one_spot")]
+            own = np.flatnonzero((ids != one[0]) | (texts != one[1]) | (spots != one[2]))
+            ids, texts, spots = ids[own], texts[own], spots[own]
+        if not len(ids):
+            continue
+        order = np.lexsort((spots, texts, ids))
+        ids, texts = ids[order], texts[order]
+        _, first, last = _of_spot(spots[order])
+        new = np.ones(len(ids), bool)
+        new[1:] = (ids[1:] != ids[:-1]) | (texts[1:] != texts[:-1])
+        heads = np.flatnonzero(new)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[heads]), pa.array(texts[heads]), _window_lists(first, last, np.append(heads, len(ids)))], ["id", "text_hash", "windows"])
 
 
 def suffix_order(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,14 +207,32 @@ def suffix_order(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.nd
     return order, rank
 
 
+def smaller_before(values: np.ndarray) -> np.ndarray:
+    """For each value, the nearest position before it that has a smaller one, or -1. Pointers jump over pointers: all
+    between a pointer's end and its start is larger than the start."""
+    at = np.arange(-1, len(values) - 1)
+    todo = np.flatnonzero(at >= 0)
+    while len(todo := todo[values[at[todo]] > values[todo]]):
+        at[todo] = at[at[todo]]
+        todo = todo[at[todo] >= 0]
+    return at
+
+
+def smaller_neighbours(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the previous and of the next smaller value, or -1."""
+    after = smaller_before(values[::-1])[::-1]
+    return smaller_before(values), np.where(after >= 0, len(values) - 1 - after, -1)
+
+
 def previous_factors(order: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """For each place in suffix order, the place of an earlier match of the ranked length, or -1: the longest previous
-    factor, cut off at that length. The longest match with an earlier place stands at the previous or the next smaller
-    place in suffix order. As equal ranks stand in order of place, the previous smaller place within the rank is the
-    neighbour before, and the next smaller one lies beyond the rank, where matches are shorter."""
+    """For each place in suffix order, an earlier place whose match is as long as the rank tells, or -1: the
+    longest-previous-factor array, cut off at that length. The longest match with any earlier place stands at the
+    previous or at the next smaller place in suffix order."""
     earlier = np.full(len(order), -1)
-    same = rank[order[1:]] == rank[order[:-1]]
-    earlier[1:][same] = order[:-1][same]
+    for at in smaller_neighbours(order):
+        own = np.flatnonzero(at >= 0)
+        own = own[rank[order[at[own]]] == rank[order[own]]]
+        earlier[own] = order[at[own]]
     return earlier
 
 
@@ -225,64 +320,66 @@ def narrowed(contexts: DataFrame, scratch: Scratch, length: int, keep_first: boo
 _PLACE = ("id", "text_hash", "first")
 
 
+def _copies(docs: DataFrame, scratch: Scratch, length: int) -> DataFrame:
+    """id, text_hash, size and rows of all texts of at least ``length`` bytes that occur in several rows; first: of the
+    smallest id."""
+    size = F.octet_length("text").alias("size")
+    texts = docs.select("id", "text_hash", F.xxhash64(F.lit(7), "text").alias("text_hash_b"), size).where(F.col("size") >= length)
+    places = scratch.table(texts.groupBy("id", "text_hash", "text_hash_b", "size").agg(F.count(F.lit(1)).alias("rows")), "places")
+    same = ["text_hash", "text_hash_b", "size"]
+    several = scratch.table(places.groupBy(*same).agg(F.min("id").alias("least"), F.sum("rows").alias("all")).where(F.col("all") > 1).drop("all"), "several")
+    found = places.join(several, same).select("id", "text_hash", "size", "rows", (F.col("id") == F.col("least")).alias("first"))
+    found = scratch.table(found, "copies")
+    scratch.drop("places", "several")
+    return found
+
+
 def repeated_windows(docs: DataFrame, scratch: Scratch, length: int = LENGTH, k: int = ANCHOR, max_contexts: int = MAX_CONTEXTS, keep_first: bool = False) -> DataFrame:
-    """id, text_hash, and runs of window starts (low to high) that occur more than once. docs: id, text_hash, text."""
-    place, same = F.struct(*_PLACE), ["head", "segment"]
-    segments = scratch.table(docs.mapInArrow(lambda b: _segments(b, length, k), _SEGMENTS), "segments")
-    places = segments.drop("anchors")
-    twice = scratch.table(places.groupBy(*same).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*same), "twice")
-    ones = scratch.table(places.join(twice, same).groupBy(*same).agg(F.min(place).alias("one")), "ones")
-    in_segments = places.join(ones, same).where(place != F.col("one") if keep_first else F.lit(True))
-    in_segments = scratch.table(in_segments.select("id", "text_hash", F.col("first").alias("low"), F.col("last").alias("high")), "in_segments")
-    # of equal segments one goes on, and counts as two
-    going = segments.join(ones, same, "left").where(F.col("one").isNull() | (place == F.col("one")))
-    every = scratch.table(going.select("id", "text_hash", F.when(F.col("one").isNull(), 1).otherwise(2).alias("weight"), F.inline("anchors")), "every")
-    scratch.drop("segments", "twice", "ones")
-    often = scratch.table(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "often")
-    rows = scratch.table(every.join(often, "anchor"), "rows")
-    scratch.drop("every", "often")
-    times = F.count(F.lit(1)) if keep_first else F.sum("weight")
-    kinds = scratch.table(rows.groupBy("anchor", "context").agg(times.alias("times")), "kinds")
-    per = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts"), F.min("times").alias("rarest"))
+    """id, text_hash, and runs of window starts (low to high) that occur more than once. twin: of rows equal in id and
+    text one is to stay. docs: id, text_hash, text."""
+    doc = F.xxhash64("id", "text_hash").alias("doc")
+    copies = _copies(docs, scratch, length)
+    spots = scratch.table(docs.select(doc, "text").mapInArrow(lambda b: _anchors(b, length, k), "doc bigint, anchor bigint, spot bigint"), "spots")
+    often = scratch.table(spots.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "often")
+    lists = scratch.table(spots.join(often, "anchor").groupBy("doc").agg(F.collect_list(F.struct("anchor", "spot")).alias("held")), "lists")
+    scratch.drop("spots", "often")
+    told = copies.groupBy(doc).agg(F.collect_set(F.struct("id", "text_hash", "first")).alias("copies"))
+    lists = scratch.table(lists.join(told, "doc", "left"), "lists_told")
+    texts = docs.withColumn("doc", doc).join(lists, "doc").select("id", "text_hash", "text", "held", "copies")
+    units = scratch.table(texts.mapInArrow(lambda b: _units(b, length, k), _UNITS), "units")
+    scratch.drop("lists", "lists_told")
+
+    kinds = scratch.table(units.groupBy("anchor", "context").agg(F.sum("times").alias("total"), F.min(F.struct("id", "text_hash", "spot")).alias("one")), "kinds")
+    per = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts"), F.min("total").alias("rarest"))
     mixed = scratch.table(per.where("contexts > 1" if keep_first else "contexts > 1 and rarest = 1").select("anchor", (F.col("contexts") > max_contexts).alias("hot")), "mixed")
-    whole = scratch.table(kinds.where("times > 1").select("anchor", "context"), "whole")
-    if keep_first:  # all places of a context but its first one
-        one = rows.join(whole, ["anchor", "context"]).groupBy("anchor", "context").agg(F.min(place).alias("one"))
-        one = scratch.table(one, "one")
-        found_whole = rows.join(one, ["anchor", "context"]).where(place != F.col("one"))
-    else:
-        found_whole = rows.join(whole, ["anchor", "context"])
-    found = scratch.table(found_whole.select("id", "text_hash", F.col("first").alias("low"), F.col("last").alias("high")), "found_whole")
-    # one place of each context that has to be looked into
-    unsure = scratch.table(rows.join(mixed, "anchor"), "unsure").groupBy("anchor", "context", "hot").agg(times.alias("times"), F.min(F.struct(*_PLACE, "last", "place")).alias("one")).select("anchor", "times", "hot", "one.*")
-    wanted = scratch.table(unsure.groupBy("id", "text_hash").agg(F.collect_list(F.struct("anchor", "times", "hot", "first", "last", "place")).alias("contexts")), "wanted")
-    scratch.drop("rows", "kinds")
-
-    def contexts(batches):
-        for batch in batches:
-            data, offsets = bytetext.buffers(batch.column(2))
-            lists = batch.column(3)
-            flat = lists.flatten()
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
-            first, last = flat.field("first").to_numpy().astype(np.int64), flat.field("last").to_numpy().astype(np.int64)
-            start, end = offsets[owner] + first, offsets[owner] + last + length
-            raw, step = data.tobytes(), 2000
-            for lo in range(0, len(owner), step):
-                own = slice(lo, lo + step)
-                blobs = pa.array([raw[a:b] for a, b in zip(start[own], end[own])], pa.binary())
-                whose = pa.array(owner[own])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(whose), batch.column(1).take(whose)] + [flat.field(c).slice(lo, step) for c in ("anchor", "times", "hot", "first", "last", "place")] + [blobs], ["id", "text_hash", "anchor", "times", "hot", "first", "last", "place", "bytes"])
-
-    texts = docs.join(wanted, ["id", "text_hash"]).select("id", "text_hash", "text", "contexts")
-    schema = "id bigint, text_hash bigint, anchor bigint, times bigint, hot boolean, first int, last int, place int, bytes binary"
-    parts = scratch.table(texts.mapInArrow(contexts, schema), "contexts")
-    scratch.drop("wanted", "mixed", "whole", "unsure")
+    wanted = kinds.join(mixed, "anchor").select("anchor", "context", F.col("total").alias("times"), "hot", "one.*")
+    at = ["anchor", "context", "id", "text_hash", "spot"]
+    place, ahead = F.shiftright("spot", 32), F.shiftright("spot", 16).bitwiseAND(0xFFFF)
+    first = (place - ahead).cast("int")
+    # rows equal in id and text may have sent the same place twice
+    parts = units.select(*at, "bytes").join(scratch.table(wanted, "wanted"), at).groupBy(*at, "times", "hot").agg(F.any_value("bytes").alias("bytes"))
+    parts = parts.select("anchor", "id", "text_hash", "times", "hot", first.alias("first"), (first + F.col("spot").bitwiseAND(0xFFFF)).cast("int").alias("last"), place.cast("int").alias("place"), "bytes")
+    parts = scratch.table(parts, "contexts")
     near = by_group(parts.where("not hot"), ["anchor"], lambda t: _repeats(t, length, keep_first), "id bigint, text_hash bigint, low int, high int", few=4096, then=_PLACE)
     near = scratch.table(near, "near")
-
     hot = narrowed(parts.where("hot").drop("hot"), scratch, length, keep_first)
-    scratch.drop("contexts")
-    return in_segments.unionByName(found).unionByName(near).unionByName(hot)
+    scratch.drop("mixed", "wanted", "contexts")
+
+    several = kinds.where("total > 1").select("anchor", "context", *(F.col(f"one.{a}").alias(b) for a, b in (("id", "one_id"), ("text_hash", "one_text"), ("spot", "one_spot"))))
+    held = units.select("batch", "anchor", "context", "ids", "texts", "spots").join(scratch.table(several, "several_places"), ["anchor", "context"])
+    classes = scratch.table(by_group(held, ["batch"], lambda t: _tell(t, keep_first), _FOUND), "classes")
+    scratch.drop("units", "kinds", "several_places")
+
+    window = lambda low, high: F.array(F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"))).alias("windows")
+    not_twin = F.lit(False).alias("twin")
+    found = classes.select("*", not_twin).unionByName(near.unionByName(hot).select("id", "text_hash", window(F.col("low"), F.col("high")), not_twin))
+    gone = copies.where(~F.col("first")) if keep_first else copies
+    found = found.unionByName(gone.select("id", "text_hash", window(F.lit(0), F.col("size") - length), not_twin))
+    if keep_first:
+        twins = copies.where(F.col("first") & (F.col("rows") > 1))
+        found = found.unionByName(twins.select("id", "text_hash", F.expr(f"cast(array() as {_WINDOWS})").alias("windows"), F.lit(True).alias("twin")))
+    # a set, as rows equal in id and text tell the same
+    return found.groupBy("id", "text_hash").agg(F.flatten(F.collect_set("windows")).alias("windows"), F.max("twin").alias("twin"))
 
 
 def _merge(low: np.ndarray, high: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -295,28 +392,38 @@ def _merge(low: np.ndarray, high: np.ndarray, length: int) -> list[tuple[int, in
     return list(zip(start[at].tolist(), end[np.append(at[1:], len(end)) - 1].tolist()))
 
 
-def runs(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, keep_first: bool = False) -> DataFrame:
-    """All rows of docs with the runs of bytes to remove: __runs, an array of (start, end)."""
+def runs(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, keep_first: bool = False) -> tuple[DataFrame, str]:
+    """All rows of docs with one column more, the runs of bytes to remove (an array of start and end), and its name."""
     need(docs, key, text)
     tune(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "substrings")
-    own_key = F.coalesce(docs[key].cast("long"), F.lit(-(2**63)))  # a null id is a place like others
-    keyed = docs.select(own_key.alias("id"), F.xxhash64(docs[text]).alias("text_hash"), docs[text].alias("text"))
-    found = repeated_windows(keyed, scratch, length, keep_first=keep_first)
+    own_key, own_text = F.coalesce(docs[key].cast("long"), F.lit(-(2**63))), F.xxhash64(docs[text])  # a null id is a place like others
+    found = repeated_windows(docs.select(own_key.alias("id"), own_text.alias("text_hash"), docs[text].alias("text")), scratch, length, keep_first=keep_first)
 
     def merged(batches):
         for batch in batches:
             lists = batch.column(2)
             flat, at = lists.flatten(), np.asarray(lists.offsets) - lists.offsets[0].as_py()
             low, high = flat.field("low").to_numpy(), flat.field("high").to_numpy()
-            out = [[{"start": a, "end": b} for a, b in _merge(low[s:e], high[s:e], length)] for s, e in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["id", "text_hash", "runs"])
-
-    listed = found.groupBy("id", "text_hash").agg(F.collect_list(F.struct("low", "high")).alias("windows"))
-    spans = scratch.table(listed.mapInArrow(merged, "id bigint, text_hash bigint, runs array<struct<start:int,end:int>>"), "runs").withColumnsRenamed({"id": "__id", "text_hash": "__hash", "runs": "__runs"})
-    scratch.drop("in_segments", "found_whole", "near", *(f"repeats{k}" for k in range(3)))
-    both = docs.withColumns({"__k": own_key, "__t": F.xxhash64(docs[text])})
-    return both.join(spans, (both["__k"] == spans["__id"]) & (both["__t"] == spans["__hash"]), "left").drop("__k", "__t", "__id", "__hash")
+            out = [[{"start": a, "end": b} for a, b in _merge(low[s:e], high[s:e], length)] if e > s else None for s, e in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), batch.column(3)], ["id", "text_hash", "runs", "twin"])
+
+    k, h, id_, hash_, cuts, twin, row, least = new_names(docs, "k", "h", "id", "hash", "runs", "twin", "row", "least")
+    spans = scratch.table(found.mapInArrow(merged, "id bigint, text_hash bigint, runs array<struct<start:int,end:int>>, twin boolean"), "runs").toDF(id_, hash_, cuts, twin)
+    scratch.drop("copies", "classes", "near", *(f"repeats{i}" for i in range(3)))
+    both = docs.withColumns({k: own_key, h: own_text})
+    joined = both.join(spans, (both[k] == spans[id_]) & (both[h] == spans[hash_]), "left").drop(id_, hash_)
+    if not keep_first or spans.where(F.col(twin)).isEmpty():
+        return joined.drop(k, h, twin), cuts
+    # of rows equal in id and text, the one of the smallest number stays
+    is_twin = F.coalesce(F.col(twin), F.lit(False))
+    twins = scratch.table(joined.where(is_twin).withColumn(row, F.monotonically_increasing_id()), "twins")
+    ones = scratch.table(twins.groupBy(k, h).agg(F.min(row).alias(row)), "first_twins")
+    ones = ones.toDF(id_, hash_, least)
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.octet_length(F.col(text)).alias("end")))
+    stay = twins.join(ones, (twins[k] == ones[id_]) & (twins[h] == ones[hash_]))
+    stay = stay.withColumn(cuts, F.when(F.col(row) == F.col(least), F.col(cuts)).otherwise(whole)).drop(id_, hash_, least, row)
+    return joined.where(~is_twin).unionByName(stay).drop(k, h, twin), cuts
 
 
 def kept_bytes(body: bytes, cuts) -> bytes:
@@ -329,7 +436,7 @@ def kept_bytes(body: bytes, cuts) -> bytes:
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """key, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    found = runs(docs.select(key, text), key, text, length)
+    found, cuts = runs(docs.select(key, text), key, text, length)
 
     def told(batches):
         for batch in batches:
@@ -344,13 +451,13 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
                 digest.append(hashlib.sha256(kept).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string())], ["k", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = found.select(F.col(key).cast("long").alias("k"), text, "__runs")
+    rows = found.select(F.col(key).cast("long").alias("k"), text, cuts)
     return rows.mapInArrow(told, "k bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string").withColumnRenamed("k", key)
 
 
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, keep_first: bool = True) -> DataFrame:
     """The rows of docs with later copies of long strings cut out of their texts. Cuts shrink to whole characters."""
-    found = runs(docs, key, text, length, keep_first)
+    found, spans = runs(docs, key, text, length, keep_first)
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -372,4 +479,4 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
             out.append(kept_bytes(body, cuts).decode())
         return pd.Series(out, dtype=object)
 
-    return found.withColumn(text, F.when(F.col("__runs").isNull(), F.col(text)).otherwise(cut(F.col(text), F.col("__runs")))).select(*docs.columns)
+    return found.withColumn(text, F.when(F.col(spans).isNull(), F.col(text)).otherwise(cut(F.col(text), F.col(spans)))).select(*docs.columns)
