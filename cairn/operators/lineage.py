@@ -9,8 +9,13 @@ from pyspark.sql import DataFrame
 
 def settle(df: DataFrame) -> DataFrame:
     """The rows, computed now and kept in the checkpoint folder, which survives a lost executor. The folder is the one
-    the session names; a temporary one is made only where there is none, as in tests."""
-    context = df.sparkSession.sparkContext
+    the session names; a temporary one is made in a local session without one, as in tests."""
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cairn-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not (context.master == "local" or context.master.startswith("local[")):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="cairn-checkpoint-")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

@@ -144,9 +144,11 @@ def b11_free_after_overlay(blocks):
     return free.groupBy("chunk", "run").agg(F.min("block_index").alias("low"), (F.max("block_index") + 1).alias("high")).drop("run")
 
 
-@query(STATES + "SELECT chunk, bool_and(state <> 3) AS all_empty FROM s GROUP BY chunk", "blocks")
+@query("SELECT chunk, CAST(sum(CASE WHEN length(trim(payload, ' ')) = 0 THEN 1 ELSE 0 END) AS BIGINT) AS empty_blocks, bool_and(is_free OR length(trim(payload, ' ')) = 0) AS all_empty FROM blocks GROUP BY chunk", "blocks")
 def b12_empty_chunks(blocks):
-    return classified(blocks).groupBy("chunk").agg(F.bool_and(F.col("state") != ops.DATA).alias("all_empty"))
+    """Chunks that hold no byte but the filling one, which is a space in these payloads. The bytes tell, not a flag."""
+    empty = F.length(F.trim("payload")) == 0
+    return blocks.groupBy("chunk").agg(F.count_if(empty).alias("empty_blocks"), F.bool_and(F.col("is_free") | empty).alias("all_empty"))
 
 
 @query("SELECT b.block_index, coalesce(o.size, b.size) AS size, o.size IS NOT NULL AS written FROM blocks b LEFT JOIN (SELECT block_index, size + 1 AS size FROM blocks WHERE block_index % 3 = 0) o ON o.block_index = b.block_index", "blocks")
@@ -180,11 +182,17 @@ def a7_backup_summary(blocks):
     return s.agg(F.sum("size").alias("logical_bytes"), F.sum(F.when(F.col("state") == 3, F.col("size")).otherwise(0)).alias("stored_bytes"), F.countDistinct("chunk").alias("chunks"))
 
 
-@query("SELECT chunk, CAST(sum((size + 511) // 512) AS BIGINT) AS expected_blocks, CAST(sum(size) AS BIGINT) AS payload, CAST(sum(size) AS BIGINT) = CAST(sum(CASE WHEN is_free THEN size ELSE 0 END) + sum(CASE WHEN is_free THEN 0 ELSE size END) AS BIGINT) AS reconciled FROM blocks GROUP BY chunk", "blocks")
-def a12_footer_check(blocks):
-    free = F.sum(F.when(F.col("is_free"), F.col("size")).otherwise(0))
-    used = F.sum(F.when(F.col("is_free"), 0).otherwise(F.col("size")))
-    return blocks.groupBy("chunk").agg(F.sum(F.expr("(size + 511) div 512")).alias("expected_blocks"), F.sum("size").alias("payload"), (F.sum("size") == free + used).alias("reconciled"))
+@query("""WITH footer AS (SELECT doc_id // 64 AS chunk, count(*) AS entries, CAST(sum((n_chars + 511) // 512) AS BIGINT) AS total_blocks, CAST(sum(n_chars) AS BIGINT) AS total_payload FROM documents GROUP BY doc_id // 64),
+scan AS (SELECT chunk, count(*) AS entries, CAST(sum(ceil(size / 512.0)) AS BIGINT) AS expected_blocks, CAST(sum(size) AS BIGINT) AS payload FROM blocks GROUP BY chunk)
+SELECT scan.chunk, expected_blocks, payload, total_blocks, total_payload, scan.entries = footer.entries AND expected_blocks = total_blocks AND payload = total_payload AS reconciled FROM scan JOIN footer ON footer.chunk = scan.chunk""", "blocks", "documents")
+def a12_footer_check(blocks, documents):
+    """What a scan counts against what the footer says. The footer is what was noted when the text was written, in
+    characters: it agrees where all of them take one byte."""
+    chars = F.col("n_chars")
+    footer = documents.groupBy(F.expr("doc_id div 64").alias("chunk")).agg(F.count(F.lit(1)).alias("noted"), F.sum(F.expr("(n_chars + 511) div 512")).alias("total_blocks"), F.sum(chars).alias("total_payload"))
+    scan = blocks.groupBy("chunk").agg(F.count(F.lit(1)).alias("entries"), F.sum(F.expr("(size + 511) div 512")).alias("expected_blocks"), F.sum("size").alias("payload"))
+    same = (F.col("entries") == F.col("noted")) & (F.col("expected_blocks") == F.col("total_blocks")) & (F.col("payload") == F.col("total_payload"))
+    return scan.join(footer, "chunk").select("chunk", "expected_blocks", "payload", "total_blocks", "total_payload", same.alias("reconciled"))
 
 
 @query("SELECT CAST(sum(CASE WHEN is_free THEN 0 ELSE size END) AS BIGINT) AS restored, CAST(sum(CASE WHEN is_free THEN 0 ELSE least(size, 3000) END) AS BIGINT) AS written, CAST(sum(CASE WHEN is_free THEN size ELSE 0 END) AS BIGINT) AS skipped, CAST(sum(CASE WHEN is_free THEN 1 ELSE 0 END) AS BIGINT) AS free_blocks FROM blocks", "blocks")
@@ -216,17 +224,21 @@ def j9_extents_of_request(blocks):
 @query("SELECT event_id, (SELECT max(block_index) FROM blocks b WHERE NOT b.is_free AND b.block_index <= event_id % 1000) AS block_index FROM events", "events", "blocks")
 def j10_as_of(events, blocks):
     """The last block with data at or before a cursor: cursors and blocks in one order, and the last block carried on.
-    The order is cut into pieces, which pass the last block of the pieces before on as one row each."""
-    piece = 256
+    The order is cut into pieces and runs of pieces. A piece learns the last block before it from the pieces of its run,
+    and a run from the runs before: a run is 4096 pieces of 256 places, so that runs are few."""
+    piece, run = 256, 4096
     at = events.select(F.col("event_id"), (F.col("event_id") % 1000).alias("at"), F.lit(None).cast("long").alias("own"))
     own = blocks.where(~F.col("is_free")).select(F.lit(None).cast("long").alias("event_id"), F.col("block_index").alias("at"), F.col("block_index").alias("own"))
-    both = at.unionByName(own).withColumn("piece", F.floor(F.col("at") / piece))
-    ends = own.groupBy(F.floor(F.col("at") / piece).alias("p")).agg(F.max("own").alias("last"))
-    pieces = both.select("piece").distinct()
-    carried = pieces.join(ends, F.col("p") < F.col("piece"), "left").groupBy("piece").agg(F.max("last").alias("carried"))  # one row a piece
+    both = at.unionByName(own).withColumn("piece", F.floor(F.col("at") / piece)).withColumn("run", F.floor(F.col("piece") / run))
+    pieces = both.groupBy("run", "piece").agg(F.max("own").alias("last"))
+    runs = pieces.groupBy("run").agg(F.max("last").alias("last"))
+    before = lambda w: F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select("run", before(Window.orderBy("run")).alias("of_runs"))
+    pieces = pieces.withColumn("of_pieces", before(Window.partitionBy("run").orderBy("piece"))).join(runs, "run")
+    carried = pieces.select("piece", F.coalesce("of_pieces", "of_runs").alias("carried"))
     w = Window.partitionBy("piece").orderBy("at", F.col("own").isNull()).rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("seen", F.max("own").over(w)).where("event_id IS NOT NULL")
-    return found.join(F.broadcast(carried), "piece").select("event_id", F.coalesce("seen", "carried").alias("block_index"))
+    return found.join(carried, "piece").select("event_id", F.coalesce("seen", "carried").alias("block_index"))
 
 
 @query("SELECT e.entry_id, b.block_index, b.chunk FROM entries e JOIN blocks b ON b.block_index = e.entry_id - 100000001 WHERE e.kind = 2", "entries", "blocks")

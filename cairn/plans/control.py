@@ -100,20 +100,26 @@ def o9_fit_to_frame(jobs):
 
 @query("SELECT count(*) AS rows, CAST(ceil(count(*) / 100.0) AS BIGINT) AS pages, min(source_id) AS first_id, max(source_id) AS last_id FROM inventory", "inventory")
 def o10_drain_pages(inventory):
-    """What a client that asks for all pages of 100 sees."""
-    return inventory.agg(F.count(F.lit(1)).alias("rows"), F.ceil(F.count(F.lit(1)) / 100).alias("pages"), F.min("source_id").alias("first_id"), F.max("source_id").alias("last_id"))
+    """What a client that asks for all pages of 100 sees. Pages are fetched one after the other, each behind the token of
+    the one before; keys have to rise, tokens to advance, and 10,000 pages are the most."""
+    spark, seen = inventory.sparkSession, {"rows": 0, "pages": 0, "first": None, "last": None}
 
+    def fetch(token):
+        page = paging.by_key(inventory.select("source_id"), "source_id", 100, token).collect()
+        keys = sorted(r["source_id"] for r in page)
+        seen["pages"] += bool(keys)
+        return keys, keys[-1] if page and page[0]["has_more"] else None
 
-@query("SELECT entry_id, kind, CASE WHEN kind = 2 THEN 4 WHEN entry_id < 100 THEN 1 WHEN entry_id < 1000 THEN 2 ELSE 3 END AS level FROM entries ORDER BY kind, level, entry_id LIMIT 100", "entries")
-def o11_restore_order(entries):
-    """Folders by depth and id, then files; the first hundred steps."""
-    level = F.when(F.col("kind") == 2, 4).when(F.col("entry_id") < 100, 1).when(F.col("entry_id") < 1000, 2).otherwise(3)
-    return entries.select("entry_id", "kind", level.alias("level")).orderBy("kind", "level", "entry_id").limit(100)
+    for key in paging.drain(fetch):
+        seen["rows"] += 1
+        seen["first"] = key if seen["first"] is None else seen["first"]
+        seen["last"] = key
+    return spark.createDataFrame([tuple(seen.values())], "rows long, pages long, first_id long, last_id long")
 
 
 @query("""WITH RECURSIVE d AS (SELECT entry_id, 0 AS depth FROM entries WHERE kind = 1 AND parent_id IS NULL UNION ALL SELECT e.entry_id, d.depth + 1 FROM entries e JOIN d ON e.parent_id = d.entry_id WHERE e.kind = 1)
 SELECT e.entry_id, e.kind, d.depth, row_number() OVER (ORDER BY e.kind, d.depth, e.entry_id) AS nth FROM entries e LEFT JOIN d ON d.entry_id = e.entry_id""", "entries")
-def o11_restore_order_all(entries):
+def o11_restore_order(entries):
     """Each entry's place: folders by their depth in the tree and id, then files by id. Files have no depth here."""
     depths = graph.tops(entries.where("kind = 1"), "entry_id", "parent_id", 64).select(F.col("id").alias("entry_id"), "depth")
     return ranked_globally(entries.select("entry_id", "kind").join(depths, "entry_id", "left"), ["kind", "depth", "entry_id"], "nth").select("entry_id", "kind", "depth", "nth")
@@ -258,13 +264,19 @@ def p1_source_summary(inventory):
     return inventory.select("source_id", F.when(F.col("label") == "", "Unknown").otherwise(F.col("label")).alias("label"), "capacity", F.least("free", "capacity").alias("free"), F.when(F.col("source_id") % 9 == 0, "GPT").otherwise("MBR").alias("style"))
 
 
-@query("SELECT c.file_id, c.backup_set, c.backup_type, CASE WHEN c.backup_type = 1 OR p.file_id IS NOT NULL THEN 'linked' ELSE 'incomplete' END AS chain_state FROM catalog c LEFT JOIN catalog p ON p.file_id = c.parent_id AND p.file_id % 97 <> 0 WHERE c.file_id % 97 <> 0", "catalog")
+@query("""WITH RECURSIVE v AS (SELECT * FROM catalog WHERE file_id % 97 <> 0),
+sound AS (SELECT file_id, 0 AS depth FROM v WHERE backup_type = 1 AND parent_id IS NULL
+UNION ALL SELECT v.file_id, sound.depth + 1 FROM v JOIN sound ON v.parent_id = sound.file_id WHERE sound.depth < 128)
+SELECT v.file_id, v.backup_set, v.backup_type, CASE WHEN sound.file_id IS NOT NULL THEN 'complete' ELSE 'incomplete' END AS chain_state FROM v LEFT JOIN sound ON sound.file_id = v.file_id""", "catalog")
 def p2_catalog_summary(catalog):
-    """Visible points with whether their parent is visible too."""
+    """Visible points, and whether their chain comes down to a full one: a parent that is missing anywhere below makes the
+    chain incomplete."""
     visible = catalog.where("file_id % 97 <> 0")
-    known = visible.select(F.col("file_id").alias("known"))
-    state = F.when((F.col("backup_type") == 1) | F.col("known").isNotNull(), "linked").otherwise("incomplete")
-    return visible.join(known, F.col("parent_id") == F.col("known"), "left").select("file_id", "backup_set", "backup_type", state.alias("chain_state"))
+    found = graph.tops(visible, "file_id", "parent_id")
+    full = visible.where("backup_type = 1").select(F.col("file_id").alias("top"), F.lit(True).alias("full"))
+    sound = F.coalesce(F.col("full"), F.lit(False)) & ~F.col("missing") & ~F.col("deep")
+    state = found.join(full, "top", "left").select(F.col("id").alias("file_id"), F.when(sound, "complete").otherwise("incomplete").alias("chain_state"))
+    return visible.join(state, "file_id").select("file_id", "backup_set", "backup_type", "chain_state")
 
 
 @query("SELECT job_id, CASE WHEN state IN (1, 2, 3) THEN 'running' WHEN state = 4 THEN 'success' WHEN state IN (5, 6, 7) THEN 'failed' ELSE 'none' END AS status FROM jobs", "jobs")
@@ -316,16 +328,8 @@ def n8_default_connection(inventory):
     return inventory.where("available").groupBy("disk").agg(F.min(rank).alias("m")).select("disk", F.col("m.id").alias("source_id"))
 
 
-@query("SELECT owner, low, partition_id FROM (SELECT r.owner, r.low, p.p_partkey AS partition_id, row_number() OVER (PARTITION BY r.owner, r.low ORDER BY p.p_partkey) AS k FROM (SELECT DISTINCT owner, low FROM ranges WHERE owner % 10 = 0) r JOIN part p ON p.p_partkey % 20 = r.owner % 20 AND p.p_size = r.low % 50 + 1) x WHERE k = 1", "ranges", "part")
-def n6_first_match(ranges, part):
-    """The first matching partition in declared order."""
-    asked = ranges.where("owner % 10 = 0").select("owner", "low", (F.col("owner") % 20).alias("disk"), (F.col("low") % 50 + 1).cast("int").alias("p_size")).distinct()
-    declared = part.select("p_partkey", (F.col("p_partkey") % 20).alias("disk"), "p_size")
-    return asked.join(declared, ["disk", "p_size"]).groupBy("owner", "low").agg(F.min("p_partkey").alias("partition_id"))
-
-
 @query("SELECT r.owner, r.low, min(p.p_partkey) AS partition_id FROM (SELECT DISTINCT owner, low FROM ranges) r JOIN part p ON p.p_partkey % 20 = r.owner % 20 AND p.p_size = r.low % 50 + 1 GROUP BY r.owner, r.low", "ranges", "part")
-def n6_first_match_all(ranges, part):
+def n6_first_match(ranges, part):
     """The first matching partition for the ranges of every owner."""
     asked = ranges.select("owner", "low", (F.col("owner") % 20).alias("disk"), (F.col("low") % 50 + 1).cast("int").alias("p_size")).distinct()
     declared = part.groupBy((F.col("p_partkey") % 20).alias("disk"), "p_size").agg(F.min("p_partkey").alias("partition_id"))

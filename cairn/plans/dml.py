@@ -101,12 +101,26 @@ def w9_idempotent_commands(jobs):
     return dml.replayed(jobs.where("job_id % 2 = 1").select("job_id", "idempotency_key", "fingerprint"), known, "idempotency_key", "fingerprint").select("job_id", "verdict")
 
 
-@query("SELECT job_id, CASE WHEN job_id % 4 = 0 AND job_id % 3 = 0 THEN 'conflict' WHEN job_id % 11 = 0 THEN 'unknown' ELSE 'published' END AS outcome FROM jobs", "jobs")
-def w10_conditional_publish(jobs):
-    """Create-only publication: a key that exists is a conflict; a lost answer leaves the outcome unknown."""
-    existing = jobs.where("job_id % 4 = 0").select("job_id", F.lit(True).alias("there"))
-    both = jobs.join(existing, "job_id", "left")
-    return both.select("job_id", F.when(F.col("there") & (F.col("job_id") % 3 == 0), "conflict").when(F.col("job_id") % 11 == 0, "unknown").otherwise("published").alias("outcome"))
+#: The store holds what succeeded jobs published under their keys; the generation is the job. All other jobs publish: one
+#: half create only, the other half replace the generation before their own number. Queued ones haven't staged all bytes.
+#: The answer to a job of a schedule that is switched off is lost.
+@query("""WITH store AS (SELECT idempotency_key AS k, max(job_id) AS generation FROM jobs WHERE state = 4 GROUP BY idempotency_key),
+r AS (SELECT j.job_id, j.idempotency_key AS k, j.state > 1 AS staged, j.operation <= 2 AS create_only, j.job_id - 1 AS expected, NOT coalesce(s.enabled, true) AS lost FROM jobs j LEFT JOIN schedules s ON s.schedule_id = j.schedule_id WHERE j.state <> 4),
+f AS (SELECT r.*, NOT staged AS unstaged, (create_only AND store.k IS NOT NULL) OR (NOT create_only AND coalesce(store.generation <> r.expected, true)) AS refused FROM r LEFT JOIN store ON store.k = r.k)
+SELECT a.job_id, CASE WHEN a.unstaged THEN 'not_staged' WHEN a.refused OR EXISTS (SELECT 1 FROM f b WHERE b.k = a.k AND b.job_id < a.job_id AND NOT b.unstaged AND NOT b.refused) THEN 'conflict' WHEN a.lost THEN 'unknown' ELSE 'published' END AS outcome FROM f a""", "jobs", "schedules")
+def w10_conditional_publish(jobs, schedules):
+    """Publication of staged objects on a condition: create-only fails on a key that exists, replacement on any other
+    generation than the expected one. Of several requests that could publish under a key the first does, which changes
+    the generation for those behind it. A lost answer leaves the outcome unknown."""
+    store = jobs.where("state = 4").groupBy("idempotency_key").agg(F.max("job_id").alias("generation"))
+    off = schedules.where("not enabled").select("schedule_id", F.lit(True).alias("lost"))
+    wanted = jobs.where("state <> 4").join(store, "idempotency_key", "left").join(off, "schedule_id", "left")
+    create_only = F.col("operation") <= 2
+    met = F.when(create_only, F.col("generation").isNull()).otherwise(F.coalesce(F.col("generation") == F.col("job_id") - 1, F.lit(False)))
+    wanted = wanted.select("job_id", "idempotency_key", (F.col("state") > 1).alias("staged"), met.alias("met"), "lost")
+    first = wanted.where("staged and met").groupBy("idempotency_key").agg(F.min("job_id").alias("first"))
+    outcome = F.when(~F.col("staged"), "not_staged").when(~F.col("met") | (F.col("first") < F.col("job_id")), "conflict").when(F.col("lost"), "unknown").otherwise("published")
+    return wanted.join(first, "idempotency_key", "left").select("job_id", outcome.alias("outcome"))
 
 
 @query("SELECT file_id, CASE WHEN file_id % 97 = 0 THEN 'replayed' WHEN file_id % 5 = 0 THEN 'absent' ELSE 'deleted' END AS outcome FROM catalog WHERE backup_set % 2 = 0", "catalog", "tombstones")
@@ -132,12 +146,22 @@ def w15_idempotent_publish(catalog):
     return ours.join(there, "file_id", "left").select("file_id", F.when(F.col("old").isNull(), "created").when(F.col("old") == F.col("body"), "same").otherwise("conflict").alias("outcome"))
 
 
-@query("SELECT schedule_id, CASE CAST(schedule_id % 5 AS INT) WHEN 0 THEN 'accepted' WHEN 1 THEN 'replayed' WHEN 2 THEN 'skipped' WHEN 3 THEN 'deferred' ELSE 'not_found' END AS outcome, schedule_id % 5 IN (0, 1, 4) AS advances FROM schedules WHERE enabled AND next_run_ms <= now_ms", "schedules")
-def z3_fire_outcomes(schedules):
-    """What a due schedule's fire came to, and whether its next run moves on."""
-    k = F.col("schedule_id") % 5
-    outcome = F.when(k == 0, "accepted").when(k == 1, "replayed").when(k == 2, "skipped").when(k == 3, "deferred").otherwise("not_found")
-    return schedules.where("enabled AND next_run_ms <= now_ms").select("schedule_id", outcome.alias("outcome"), F.col("schedule_id") % 5 % 4 < 2).toDF("schedule_id", "outcome", "advances")
+@query("""WITH due AS (SELECT schedule_id, next_run_ms FROM schedules WHERE enabled AND next_run_ms <= now_ms),
+f AS (SELECT due.schedule_id, CASE WHEN NOT EXISTS (SELECT 1 FROM jobs j WHERE j.schedule_id = due.schedule_id) THEN 'accepted'
+WHEN EXISTS (SELECT 1 FROM jobs j WHERE j.schedule_id = due.schedule_id AND j.state IN (1, 2, 3)) THEN 'deferred'
+WHEN (SELECT count(*) FROM jobs j WHERE j.schedule_id = due.schedule_id AND j.state IN (6, 7)) = (SELECT count(*) FROM jobs j WHERE j.schedule_id = due.schedule_id) THEN 'not_found'
+WHEN EXISTS (SELECT 1 FROM jobs j WHERE j.schedule_id = due.schedule_id AND j.state = 5) THEN 'skipped' ELSE 'replayed' END AS outcome FROM due)
+SELECT schedule_id, outcome, outcome IN ('accepted', 'replayed', 'not_found') AS advances FROM f""", "schedules", "jobs")
+def z3_fire_outcomes(schedules, jobs):
+    """What a due schedule's fire comes to, told from its jobs, and whether its next run moves on: without jobs it is
+    accepted; with an active one deferred; with cancelled ones alone its target isn't found; after a failed one it is
+    skipped; otherwise the command was seen before and is replayed."""
+    due = schedules.where("enabled AND next_run_ms <= now_ms").select("schedule_id")
+    state = F.col("state")
+    per = jobs.groupBy("schedule_id").agg(F.count_if(state <= 3).alias("active"), F.count_if(state == 5).alias("failed"), F.count_if(state < 6).alias("others"))
+    outcome = F.when(F.col("others").isNull(), "accepted").when(F.col("active") > 0, "deferred").when(F.col("others") == 0, "not_found").when(F.col("failed") > 0, "skipped").otherwise("replayed")
+    found = due.join(per, "schedule_id", "left").select("schedule_id", outcome.alias("outcome"))
+    return found.withColumn("advances", F.col("outcome").isin("accepted", "replayed", "not_found"))
 
 
 @query("SELECT schedule_id, CASE WHEN enabled AND next_run_ms IS NOT NULL AND schedule_id % 6 > 0 THEN now_ms + 86400000 ELSE next_run_ms END AS next_run_ms FROM schedules", "schedules")
@@ -161,14 +185,8 @@ def z6_preflight(inventory):
     return inventory.select("source_id", (F.col("available") & (F.col("capacity") >= 1400)).alias("feasible"))
 
 
-@query("SELECT c.file_id, CASE WHEN t.file_id IS NOT NULL AND c.file_id % 2 = 0 THEN 'done' WHEN t.file_id IS NOT NULL THEN 'resume' ELSE 'plan' END AS next_step FROM catalog c LEFT JOIN tombstones t ON t.file_id = c.file_id WHERE c.backup_set % 3 = 0", "catalog", "tombstones")
-def z7_delete_resume(catalog, tombstones):
-    """Some points, judged as in z7_delete_resume_all."""
-    return z7_delete_resume_all(catalog.where("backup_set % 3 = 0"), tombstones)
-
-
 @query("SELECT c.file_id, CASE WHEN t.file_id IS NOT NULL AND c.file_id % 2 = 0 THEN 'done' WHEN t.file_id IS NOT NULL THEN 'resume' ELSE 'plan' END AS next_step FROM catalog c LEFT JOIN tombstones t ON t.file_id = c.file_id", "catalog", "tombstones")
-def z7_delete_resume_all(catalog, tombstones):
+def z7_delete_resume(catalog, tombstones):
     """A published tombstone is the authority: its members go on being deleted until all are absent."""
     t = tombstones.select("file_id", F.lit(True).alias("published"))
     absent = F.col("file_id") % 2 == 0

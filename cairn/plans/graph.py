@@ -50,14 +50,8 @@ def g1_graph_summary(catalog):
     return found.agg(F.count(F.lit(1)).alias("points"), F.countDistinct("top").alias("chains"), F.max("depth").alias("deepest"), (~F.bool_or("deep")).alias("legal"))
 
 
-@query(UP + "SELECT up.id AS tip, up.ancestor AS point, CAST(top.depth - up.distance AS INT) AS nth FROM up JOIN top ON top.id = up.id WHERE up.id % 50 = 1", "catalog")
-def g2_chain_base_first(catalog):
-    """The chains of some tips with the base first."""
-    return g2_chain_base_first_all(catalog).where("tip % 50 = 1")
-
-
 @query(UP + "SELECT up.id AS tip, up.ancestor AS point, CAST(top.depth - up.distance AS INT) AS nth FROM up JOIN top ON top.id = up.id", "catalog")
-def g2_chain_base_first_all(catalog):
+def g2_chain_base_first(catalog):
     """The chain of each visible point with the base first."""
     pairs = graph.ancestors(visible(catalog), "file_id", "parent_id")
     depth = F.max("distance").over(Window.partitionBy("id"))
@@ -81,9 +75,7 @@ def retained_tips(catalog):
 @query(UP + TIPS + "SELECT DISTINCT up.ancestor AS file_id FROM up JOIN ranked ON ranked.file_id = up.id AND k <= 2", "catalog")
 def g4_retention_closure(catalog):
     """All points that the two newest complete points of each set need."""
-    pairs = graph.ancestors(visible(catalog), "file_id", "parent_id")
-    tips = retained_tips(catalog).select(F.col("file_id").alias("id"))
-    return pairs.join(tips, "id").select(F.col("ancestor").alias("file_id")).distinct()
+    return graph.above(visible(catalog), retained_tips(catalog), "file_id", "parent_id").select(F.col("id").alias("file_id"))
 
 
 @query(UP + TIPS + "SELECT max(depth) AS deepest, max(depth) >= 20 AS over_threshold, count(*) AS tips FROM top JOIN ranked ON ranked.file_id = top.id AND k <= 2", "catalog")
@@ -99,34 +91,20 @@ def u1_retention_union(catalog):
     return visible(catalog).select("file_id").join(kept, "file_id", "left").select("file_id", F.coalesce("k", F.lit(False)).alias("kept"))
 
 
-@query(UP + "SELECT up.ancestor AS target, up.id AS point, CAST(up.distance AS INT) AS depth FROM up WHERE up.ancestor % 200 = 3", "catalog")
-def g5_descendants(catalog):
-    """Everything that builds on some targets; children come before parents when ordered by depth, deepest first."""
-    return g5_descendants_all(catalog).where("target % 200 = 3")
-
-
 @query(UP + "SELECT up.ancestor AS target, up.id AS point, CAST(up.distance AS INT) AS depth FROM up", "catalog")
-def g5_descendants_all(catalog):
-    """Everything that builds on each visible point."""
+def g5_descendants(catalog):
+    """Everything that builds on each visible point; children come before parents when ordered by depth, deepest first."""
     pairs = graph.ancestors(visible(catalog), "file_id", "parent_id")
     return pairs.select(F.col("ancestor").alias("target"), F.col("id").alias("point"), F.col("distance").alias("depth"))
 
 
-@query(UP + """, m AS (SELECT up.ancestor AS target, up.id AS point, CAST(up.distance AS INT) AS depth, v.parts, v.has_sidecar FROM up JOIN v ON v.file_id = up.id WHERE up.ancestor % 200 = 3)
-SELECT target, point, depth, CASE WHEN k = 0 THEN '.bhx' WHEN k < 1000 THEN concat('.', lpad(CAST(1000 - k AS VARCHAR), 3, '0')) ELSE 'main' END AS member, k AS ordinal
-FROM m, unnest(range(0, 1001)) r(k) WHERE (k = 0 AND has_sidecar) OR (k > 0 AND k < 1000 AND 1000 - k < parts) OR k = 1000""", "catalog")
-def g6_delete_plan(catalog):
-    """What has to go with some targets, member by member."""
-    return g6_delete_plan_all(catalog).where("target % 200 = 3")
-
-
 @query(UP + """, m AS (SELECT up.ancestor AS target, up.id AS point, CAST(up.distance AS INT) AS depth, v.parts, v.has_sidecar FROM up JOIN v ON v.file_id = up.id)
 SELECT target, point, depth, CASE WHEN k = 0 THEN '.bhx' WHEN k < 1000 THEN concat('.', lpad(CAST(1000 - k AS VARCHAR), 3, '0')) ELSE 'main' END AS member, k AS ordinal
 FROM (SELECT target, point, depth, unnest(list_concat(CASE WHEN has_sidecar THEN CAST([0] AS BIGINT[]) ELSE CAST([] AS BIGINT[]) END, range(1001 - parts, 1001))) AS k FROM m) x""", "catalog")
-def g6_delete_plan_all(catalog):
+def g6_delete_plan(catalog):
     """What has to go with each visible point, member by member: the sidecar, the parts from the last, the main file at
     the end."""
-    plan = g5_descendants_all(catalog).join(visible(catalog).select(F.col("file_id").alias("point"), "parts", "has_sidecar"), "point")
+    plan = g5_descendants(catalog).join(visible(catalog).select(F.col("file_id").alias("point"), "parts", "has_sidecar"), "point")
     sidecar = F.when(F.col("has_sidecar"), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
     parts = F.when(F.col("parts") > 1, F.transform(F.sequence(F.lit(1), F.col("parts") - 1), lambda p: 1000 - p)).otherwise(F.array().cast("array<int>"))
     k = F.explode(F.concat(sidecar, parts, F.array(F.lit(1000))))
@@ -151,20 +129,13 @@ def g8_incremental_parent(catalog):
     return found.select("backup_set", "tip", reason.alias("reason"))
 
 
-@query(UP + ", s AS (SELECT up.id, count(DISTINCT v.backup_set) AS sets, count(*) AS n FROM up JOIN v ON v.file_id = up.ancestor GROUP BY up.id) SELECT top.id AS file_id, top_type = 1 AND sets = 1 AND n <= 129 AS usable FROM top JOIN s ON s.id = top.id WHERE top.id % 3 = 0", "catalog")
-def g9_volume_parent(catalog):
-    """Some points, judged as in g9_volume_parent_all."""
-    return g9_volume_parent_all(catalog).where("file_id % 3 = 0")
-
-
 @query(UP + ", s AS (SELECT up.id, count(DISTINCT v.backup_set) AS sets, count(*) AS n FROM up JOIN v ON v.file_id = up.ancestor GROUP BY up.id) SELECT top.id AS file_id, top_type = 1 AND sets = 1 AND n <= 129 AS usable FROM top JOIN s ON s.id = top.id", "catalog")
-def g9_volume_parent_all(catalog):
+def g9_volume_parent(catalog):
     """A tip is usable if all points of its chain are of one set, none repeats, and the last one is full."""
     points = visible(catalog)
-    sets = points.select(F.col("file_id").alias("ancestor"), "backup_set")
-    pairs = graph.ancestors(points, "file_id", "parent_id")
-    per = pairs.join(sets, "ancestor").groupBy("id").agg(F.min("backup_set").alias("low"), F.max("backup_set").alias("high"), F.count(F.lit(1)).alias("n"))
-    return per.join(chains(catalog).select("id", "complete"), "id").select(F.col("id").alias("file_id"), (F.col("complete") & (F.col("low") == F.col("high")) & (F.col("n") <= 129)).alias("usable"))
+    per = graph.folded(points, "file_id", "parent_id", {"low": (F.col("backup_set"), F.least), "high": (F.col("backup_set"), F.greatest)})
+    found = per.join(chains(catalog).select("id", "complete", "depth"), "id")
+    return found.select(F.col("id").alias("file_id"), (F.col("complete") & (F.col("low") == F.col("high")) & (F.col("depth") <= 128)).alias("usable"))
 
 
 @query("SELECT e.entry_id, e.parent_id, e.kind, EXISTS (SELECT 1 FROM entries c WHERE c.parent_id = e.entry_id) AS has_children FROM entries e WHERE e.parent_id < 1000", "entries")
@@ -185,8 +156,7 @@ def g11_selection_closure(entries):
     """A selection, all below it, and all folders above it."""
     chosen = entries.where(SELECTED)
     below = graph.descendants(entries, chosen, "entry_id", "parent_id", 64).select(F.col("id").alias("entry_id"))
-    above = graph.ancestors(entries.where("kind = 1").unionByName(chosen.where("kind = 2")), "entry_id", "parent_id", 64)
-    above = above.join(chosen.select(F.col("entry_id").alias("id")), "id").select(F.col("ancestor").alias("entry_id"))
+    above = graph.above(entries, chosen, "entry_id", "parent_id", 64).select(F.col("id").alias("entry_id"))
     return below.union(above).distinct()
 
 
@@ -198,6 +168,21 @@ def g12_paths(entries):
     return found.select(F.col("id").alias("entry_id"), F.array_join("path", "/").alias("path"), "depth")
 
 
+@query("""WITH RECURSIVE n AS (SELECT entry_id, parent_id, CASE WHEN row_number() OVER (PARTITION BY parent_id, lower(name) ORDER BY entry_id) = 1 THEN name ELSE concat(name, '~', CAST(entry_id AS VARCHAR)) END AS shown FROM entries),
+p AS (SELECT entry_id, shown AS path FROM n WHERE parent_id IS NULL UNION ALL SELECT n.entry_id, concat(p.path, '/', n.shown) FROM n JOIN p ON n.parent_id = p.entry_id),
+a AS (SELECT concat(lower(r_name), '/', n_name, '/', upper(c_name)) AS asked FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT concat(r_name, '/nowhere') FROM region)
+SELECT a.asked, p.entry_id FROM a LEFT JOIN p ON lower(p.path) = lower(a.asked)""", "entries", "customer", "nation", "region")
+def g13_path_resolve(entries, customer, nation, region):
+    """The entry at each asked path, whatever the case of its letters. Names that collide are shown with their id behind."""
+    first = F.row_number().over(Window.partitionBy("parent_id", F.lower("name")).orderBy("entry_id")) == 1
+    folders = entries.where("kind = 1")
+    shown = folders.withColumn("shown", F.when(first, F.col("name")).otherwise(F.concat("name", F.lit("~"), F.col("entry_id").cast("string"))))
+    paths = graph.paths(shown, "entry_id", "parent_id", "shown").select(F.col("id").alias("entry_id"), F.lower(F.array_join("path", "/")).alias("path"))
+    places = customer.join(nation, F.col("n_nationkey") == F.col("c_nationkey")).join(region, F.col("r_regionkey") == F.col("n_regionkey"))
+    asked = places.select(F.concat(F.lower("r_name"), F.lit("/"), "n_name", F.lit("/"), F.upper("c_name")).alias("asked")).unionByName(region.select(F.concat("r_name", F.lit("/nowhere")).alias("asked")))
+    return asked.join(paths, F.lower("asked") == F.col("path"), "left").select("asked", "entry_id")
+
+
 @query("""SELECT p_partkey AS id, CASE WHEN row_number() OVER (PARTITION BY p_partkey % 50, lower(p_name) ORDER BY p_partkey) = 1 THEN p_name ELSE concat(p_name, '~', CAST(p_partkey AS VARCHAR)) END AS shown FROM part""", "part")
 def g13_case_collisions(part):
     """Names that differ in case alone: all but the first get their id behind them."""
@@ -205,27 +190,58 @@ def g13_case_collisions(part):
     return part.select(F.col("p_partkey").alias("id"), F.when(first, F.col("p_name")).otherwise(F.concat("p_name", F.lit("~"), F.col("p_partkey").cast("string"))).alias("shown"))
 
 
-@query("""SELECT backup_set, file_id, coalesce(max(CASE WHEN local THEN file_id END) OVER (PARTITION BY backup_set ORDER BY created_ms, file_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS newest_local_id,
-last_value(CASE WHEN local THEN file_id END IGNORE NULLS) OVER (PARTITION BY backup_set ORDER BY created_ms, file_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS resolved FROM (SELECT *, file_id % 3 = 0 AS local FROM catalog) x""", "catalog")
+#: A point has as many streams as parts. A full point holds all of them; another one holds every second, and its others
+#: are those of the same number one layer down.
+STREAMS = """WITH RECURSIVE v AS (SELECT * FROM catalog WHERE file_id % 97 <> 0),
+st AS (SELECT file_id, parent_id, content_kind, CAST(k AS BIGINT) AS stream, backup_type = 1 OR (file_id + k) % 2 = 0 AS local FROM v, unnest(range(0, parts)) r(k)),
+walk AS (SELECT file_id AS tip, stream AS tip_stream, file_id, parent_id, content_kind, stream, local, 0 AS hops FROM st
+UNION ALL SELECT w.tip, w.tip_stream, s.file_id, s.parent_id, s.content_kind, s.stream, s.local, w.hops + 1 FROM walk w JOIN st s ON NOT w.local AND s.file_id = w.parent_id AND s.stream = w.stream AND s.content_kind = w.content_kind AND w.hops < 128) """
+
+
+def resolved_streams(catalog):
+    """file_id, stream, resolved (the layer that holds its bytes, or null) and hops."""
+    points = visible(catalog).withColumn("stream", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
+    local = (F.col("backup_type") == 1) | ((F.col("file_id") + F.col("stream")) % 2 == 0)
+    node = lambda point: F.struct(point.alias("file_id"), F.col("stream"), F.col("content_kind"))
+    streams = points.select(node(F.col("file_id")).alias("node"), F.when(~local, node(F.col("parent_id"))).alias("below"), local.alias("local"))
+    found = graph.tops(streams, "node", "below")
+    held = streams.where("local").select(F.col("node").alias("top"), F.lit(True).alias("held"))
+    both = found.join(held, "top", "left").withColumn("sound", F.coalesce(F.col("held") & ~F.col("deep"), F.lit(False)))
+    return both.select("id.file_id", "id.stream", F.when(F.col("sound"), F.col("top.file_id")).alias("resolved"), F.when(F.col("sound"), F.col("depth").cast("int")).alias("hops"))
+
+
+@query(STREAMS + "SELECT st.file_id, st.stream, w.file_id AS resolved, CAST(w.hops AS INT) AS hops FROM st LEFT JOIN walk w ON w.tip = st.file_id AND w.tip_stream = st.stream AND w.local", "catalog")
 def g14_stream_layers(catalog):
-    """Each layer's stream is the nearest one at or below it that is stored locally."""
-    w = Window.partitionBy("backup_set").orderBy("created_ms", "file_id").rowsBetween(Window.unboundedPreceding, 0)
-    own = F.when(F.col("file_id") % 3 == 0, F.col("file_id"))
-    return catalog.select("backup_set", "file_id", F.coalesce(F.max(own).over(w), F.lit(-1)).alias("newest_local_id"), F.last(own, ignorenulls=True).over(w).alias("resolved"))
+    """Where the bytes of each stream are: it is followed down its parents' streams of the same kind until a layer holds it,
+    128 layers at most. A layer that is missing, or lacks the stream, leaves it unresolved."""
+    return resolved_streams(catalog)
+
+
+@query(STREAMS + """, up AS (SELECT file_id AS tip, file_id, parent_id, stored_bytes, backup_type, 0 AS distance FROM v UNION ALL SELECT up.tip, v.file_id, v.parent_id, v.stored_bytes, v.backup_type, up.distance + 1 FROM up JOIN v ON v.file_id = up.parent_id WHERE up.distance < 200),
+layers AS (SELECT tip, count(*) AS layer_count, CAST(sum(stored_bytes) AS BIGINT) AS local_bytes, max_by(backup_type, distance) = 1 AND max(distance) <= 128 AS whole FROM up GROUP BY tip),
+tips AS (SELECT st.file_id, count(*) AS streams, count(w.tip) AS resolved FROM st LEFT JOIN walk w ON w.tip = st.file_id AND w.tip_stream = st.stream AND w.local GROUP BY st.file_id)
+SELECT tips.file_id, layer_count, local_bytes, streams, resolved, whole AND streams = resolved AS recoverable FROM tips JOIN layers ON layers.tip = tips.file_id""", "catalog")
+def v8_recoverability(catalog):
+    """Whether each visible point can be recovered: all layers of its chain are there, and all of its streams resolve."""
+    points = visible(catalog)
+    layers = graph.folded(points, "file_id", "parent_id", {"layer_count": (F.lit(1).cast("long"), lambda a, b: a + b), "local_bytes": (F.col("stored_bytes"), lambda a, b: a + b)})
+    tips = resolved_streams(catalog).groupBy("file_id").agg(F.count(F.lit(1)).alias("streams"), F.count("resolved").alias("resolved"))
+    whole = chains(catalog).select("id", "complete")
+    both = layers.join(whole, "id").join(tips, layers["id"] == tips["file_id"])
+    return both.select("file_id", "layer_count", "local_bytes", "streams", "resolved", (F.col("complete") & (F.col("streams") == F.col("resolved"))).alias("recoverable"))
 
 
-@query("""WITH c AS (SELECT parent_id AS customer, CAST(sum(CASE WHEN size % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS ticked, count(*) AS n FROM entries WHERE kind = 2 GROUP BY parent_id),
-s AS (SELECT e.entry_id, e.parent_id, CASE WHEN c.n IS NULL OR ticked = 0 THEN 0 WHEN ticked = c.n THEN 2 ELSE 1 END AS state FROM entries e LEFT JOIN c ON c.customer = e.entry_id WHERE e.entry_id BETWEEN 1001 AND 100000000),
-nation2 AS (SELECT parent_id AS entry_id, CASE WHEN min(state) = 2 THEN 2 WHEN max(state) > 0 THEN 1 ELSE 0 END AS state FROM s GROUP BY parent_id)
-SELECT entry_id, CAST(state AS INT) AS state FROM s UNION ALL SELECT entry_id, CAST(state AS INT) FROM nation2""", "entries")
+@query("""WITH RECURSIVE leaf AS (SELECT entry_id, parent_id, CASE WHEN kind = 2 AND size % 2 = 0 THEN 1 ELSE 0 END AS ticked FROM entries e WHERE kind = 2 OR NOT EXISTS (SELECT 1 FROM entries c WHERE c.parent_id = e.entry_id)),
+p AS (SELECT entry_id, entry_id AS leaf, parent_id, ticked FROM leaf UNION ALL SELECT e.entry_id, p.leaf, e.parent_id, p.ticked FROM entries e JOIN p ON e.entry_id = p.parent_id)
+SELECT p.entry_id, CAST(CASE WHEN sum(ticked) = 0 THEN 0 WHEN sum(ticked) = count(*) THEN 2 ELSE 1 END AS INT) AS state FROM p JOIN entries e ON e.entry_id = p.entry_id WHERE e.kind = 1 GROUP BY p.entry_id""", "entries")
 def g15_tri_state(entries):
-    """0 none, 1 some, 2 all: level by level from below."""
-    ticked = entries.where("kind = 2").groupBy(F.col("parent_id").alias("entry_id")).agg(F.count_if(F.col("size") % 2 == 0).alias("ticked"), F.count(F.lit(1)).alias("n"))
-    folders = entries.where(F.col("entry_id").between(1001, 100_000_000)).join(ticked, "entry_id", "left")
-    state = F.when(F.col("n").isNull() | (F.col("ticked") == 0), 0).when(F.col("ticked") == F.col("n"), 2).otherwise(1)
-    low = folders.select("entry_id", "parent_id", state.alias("state"))
-    high = low.groupBy(F.col("parent_id").alias("entry_id")).agg(F.when(F.min("state") == 2, 2).when(F.max("state") > 0, 1).otherwise(0).alias("state"))
-    return low.select("entry_id", "state").unionByName(high)
+    """0 none, 1 some, 2 all, for folders of any depth. All children of a folder are checked whole just if every leaf below
+    it is checked, and some are checked just if some leaf is; a folder without children is an unchecked leaf."""
+    parents = entries.select(F.col("parent_id").alias("entry_id"), F.lit(False).alias("bare")).where("entry_id IS NOT NULL").distinct()
+    rows = entries.join(parents, "entry_id", "left").select("entry_id", "parent_id", "kind", ((F.col("kind") == 2) & (F.col("size") % 2 == 0)).cast("long").alias("ticked"), ((F.col("kind") == 2) | F.coalesce("bare", F.lit(True))).cast("long").alias("leaf"))
+    below = graph.gathered(rows, "entry_id", "parent_id", {"ticked": F.col("ticked"), "leaves": F.col("leaf")}, 64)
+    state = F.when(F.col("ticked") == 0, 0).when(F.col("ticked") == F.col("leaves"), 2).otherwise(1)
+    return rows.where("kind = 1").select(F.col("entry_id").alias("id")).join(below, "id").select(F.col("id").alias("entry_id"), state.alias("state"))
 
 
 PRUNE = "SELECT p_partkey AS id, p_partkey % 4 AS volume, CASE p_partkey % 3 WHEN 0 THEN concat('/', p_type) WHEN 1 THEN concat('/', p_type, '/', p_brand) ELSE concat('/', p_type, '/', p_brand, '/', p_name) END AS path, p_partkey % 5 > 0 AS recursive FROM part"
@@ -265,28 +281,18 @@ UNION ALL SELECT e.entry_id, p.start, e.parent_id FROM entries e JOIN p ON e.ent
 SELECT entry_id FROM entries WHERE entry_id % 5 = 0 AND entry_id < 3000 AND entry_id NOT IN (SELECT start FROM p WHERE entry_id <> start AND entry_id % 5 = 0)""", "entries")
 def u4_topmost_selection(entries):
     """Checked rows without a checked row above them."""
-    checked = entries.where("entry_id % 5 = 0 AND entry_id < 3000").select("entry_id")
-    pairs = graph.ancestors(entries.where("kind = 1"), "entry_id", "parent_id", 64).where("distance > 0")
-    covered = pairs.join(checked.withColumnRenamed("entry_id", "ancestor"), "ancestor").select(F.col("id").alias("entry_id"))
-    return checked.join(covered, "entry_id", "left_anti")
-
-
-@query("""WITH RECURSIVE p AS (SELECT entry_id, parent_id, 0 AS height FROM entries WHERE entry_id BETWEEN 1001 AND 1300
-UNION ALL SELECT e.entry_id, e.parent_id, p.height + 1 FROM entries e JOIN p ON e.entry_id = p.parent_id)
-SELECT entry_id, CAST(max(height) AS INT) AS height FROM p GROUP BY entry_id""", "entries")
-def o12_post_order(entries):
-    """Height above the deepest row below: in this order every row comes before its folder."""
-    pairs = graph.ancestors(entries.where("kind = 1"), "entry_id", "parent_id", 64).where(F.col("id").between(1001, 1300))
-    return pairs.groupBy(F.col("ancestor").alias("entry_id")).agg(F.max("distance").alias("height"))
+    folders = entries.where("kind = 1").select("entry_id", "parent_id", (F.col("entry_id").between(0, 2999) & (F.col("entry_id") % 5 == 0)).alias("checked"))
+    checked = F.col("checked").cast("int")
+    covered = graph.folded(folders, "entry_id", "parent_id", {"n": (checked, lambda a, b: a + b)}, 64).where("n > 1")
+    return folders.where("checked").select("entry_id").join(covered.select(F.col("id").alias("entry_id")), "entry_id", "left_anti")
 
 
 @query("""WITH RECURSIVE p AS (SELECT entry_id, parent_id, 0 AS height FROM entries
 UNION ALL SELECT e.entry_id, e.parent_id, p.height + 1 FROM entries e JOIN p ON e.entry_id = p.parent_id)
 SELECT entry_id, CAST(max(height) AS INT) AS height FROM p GROUP BY entry_id""", "entries")
-def o12_post_order_all(entries):
-    """The height of every entry, files and empty folders among them."""
-    pairs = graph.ancestors(entries, "entry_id", "parent_id", 64)
-    return pairs.groupBy(F.col("ancestor").alias("entry_id")).agg(F.max("distance").alias("height"))
+def o12_post_order(entries):
+    """The height of every entry above the deepest row below it: in this order every row comes before its folder."""
+    return graph.heights(entries, "entry_id", "parent_id", 64).select(F.col("id").alias("entry_id"), "height")
 
 
 @query("""WITH RECURSIVE down AS (SELECT entry_id, kind, size FROM entries WHERE entry_id IN (103, 1004) UNION SELECT e.entry_id, e.kind, e.size FROM entries e JOIN down ON e.parent_id = down.entry_id)

@@ -112,10 +112,16 @@ def i11_delta_to_absolute(lineitem):
     return lineitem.select(F.col("l_partkey").alias("owner"), "l_orderkey", "l_linenumber", F.sum(F.col("l_quantity").cast("long")).over(w).alias("position"))
 
 
-@query("SELECT 'length' AS rule, count(*) AS violations FROM ranges WHERE high <= low UNION ALL SELECT 'bounds', count(*) FROM ranges WHERE low < 0 OR high > 4030 UNION ALL SELECT 'coverage', count(*) FROM (SELECT owner FROM ranges GROUP BY owner HAVING sum(high - low) < 100) x", "ranges")
+@query("""WITH n AS (SELECT owner, low, high, row_number() OVER (PARTITION BY owner ORDER BY low, high) AS k FROM ranges)
+SELECT 'length' AS rule, count(*) AS violations FROM ranges WHERE high <= low UNION ALL SELECT 'bounds', count(*) FROM ranges WHERE low < 0 OR high > 4030
+UNION ALL SELECT 'overlap', count(*) FROM n a JOIN n b ON b.owner = a.owner AND b.k = a.k + 1 AND b.low < a.high
+UNION ALL SELECT 'coverage', count(*) FROM (SELECT owner FROM ranges GROUP BY owner HAVING sum(high - low) < 100) x""", "ranges")
 def i12_plan_audit(ranges):
-    rules = F.explode(F.array(F.struct(F.lit("length").alias("rule"), (F.col("high") <= F.col("low")).alias("bad")), F.struct(F.lit("bounds").alias("rule"), ((F.col("low") < 0) | (F.col("high") > 4030)).alias("bad"))))
-    each = ranges.select(rules.alias("r")).groupBy("r.rule").agg(F.count_if("r.bad").alias("violations"))
+    """How often each rule of a plan is broken. Overlap: a range begins before the one that comes before it ends."""
+    before = F.lag("high").over(Window.partitionBy("owner").orderBy("low", "high"))
+    checks = {"length": F.col("high") <= F.col("low"), "bounds": (F.col("low") < 0) | (F.col("high") > 4030), "overlap": F.coalesce(F.col("before") > F.col("low"), F.lit(False))}
+    rules = F.explode(F.array(*(F.struct(F.lit(name).alias("rule"), bad.alias("bad")) for name, bad in checks.items())))
+    each = ranges.withColumn("before", before).select(rules.alias("r")).groupBy("r.rule").agg(F.count_if("r.bad").alias("violations"))
     short = ranges.groupBy("owner").agg(F.sum(F.col("high") - F.col("low")).alias("n")).agg(F.count_if(F.col("n") < 100).alias("violations")).select(F.lit("coverage").alias("rule"), "violations")
     return each.unionByName(short)
 
@@ -126,9 +132,17 @@ def i13_gaps(ranges):
     return ops.gaps(ranges, ["owner"], 5000, 128)
 
 
-@query("SELECT owner, bool_and(low < high) AS non_empty, min(low) >= 0 AND max(high) <= 4030 AS inside, count(*) - count(DISTINCT low) AS repeated_starts FROM ranges GROUP BY owner", "ranges")
+@query("""WITH n AS (SELECT owner, low, high, row_number() OVER (PARTITION BY owner ORDER BY low, high) AS k FROM ranges),
+o AS (SELECT b.owner, count(*) AS collisions FROM n a JOIN n b ON b.owner = a.owner AND b.k = a.k + 1 WHERE b.low < a.high GROUP BY b.owner),
+t AS (SELECT owner, bool_and(low < high) AS non_empty, min(low) >= 0 AND max(high) <= 4030 AS inside, count(*) - count(DISTINCT low) AS repeated_starts FROM ranges GROUP BY owner)
+SELECT t.owner, non_empty, inside, repeated_starts, coalesce(collisions, 0) AS collisions, non_empty AND inside AND repeated_starts = 0 AND collisions IS NULL AS valid FROM t LEFT JOIN o ON o.owner = t.owner""", "ranges")
 def i14_final_layout(ranges):
-    return ranges.groupBy("owner").agg(F.bool_and(F.col("low") < F.col("high")).alias("non_empty"), ((F.min("low") >= 0) & (F.max("high") <= 4030)).alias("inside"), (F.count(F.lit(1)) - F.countDistinct("low")).alias("repeated_starts"))
+    """A layout is valid if no range is empty, all lie in the usable room, no start repeats and none begins before the one
+    that comes before it ends."""
+    before = F.lag("high").over(Window.partitionBy("owner").orderBy("low", "high"))
+    found = ranges.withColumn("over", F.coalesce(before > F.col("low"), F.lit(False))).groupBy("owner").agg(
+        F.bool_and(F.col("low") < F.col("high")).alias("non_empty"), ((F.min("low") >= 0) & (F.max("high") <= 4030)).alias("inside"), (F.count(F.lit(1)) - F.countDistinct("low")).alias("repeated_starts"), F.count_if("over").alias("collisions"))
+    return found.withColumn("valid", F.col("non_empty") & F.col("inside") & (F.col("repeated_starts") == 0) & (F.col("collisions") == 0))
 
 
 @query("SELECT owner, low, high, coalesce(lead(low) OVER (PARTITION BY owner ORDER BY low), 5000) // 8 * 8 AS limit_at FROM (SELECT owner, low, max(high) AS high FROM ranges GROUP BY owner, low) x", "ranges")
@@ -166,16 +180,8 @@ def j7_extent_to_partition(part, lineitem):
     return ops.overlapping(e, p, ["disk"], 128).where(starts | covers).groupBy("extent", "disk").agg(F.min("partition_id").alias("partition_id"))
 
 
-@query("""SELECT p_partkey AS partition_id FROM part WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT owner % 20 AS disk, low, high FROM ranges WHERE owner % 50 = 0) r WHERE r.disk = p_partkey % 20 AND r.low < p_size * 40 + 60 AND p_size * 40 < r.high)""", "part", "ranges")
-def j12_uncovered_partitions(part, ranges):
-    """Partitions that no volume lies on."""
-    p = part.select(F.col("p_partkey").alias("partition_id"), (F.col("p_partkey") % 20).alias("disk"), (F.col("p_size") * 40).cast("long").alias("b_low"), (F.col("p_size") * 40 + 60).cast("long").alias("b_high"))
-    volumes = ranges.where("owner % 50 = 0").select((F.col("owner") % 20).alias("disk"), "low", "high").distinct()
-    return p.select("partition_id").join(ops.overlapping(volumes, p, ["disk"], 128).select("partition_id"), "partition_id", "left_anti")
-
-
 @query("""SELECT p_partkey AS partition_id FROM part WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT owner % 20 AS disk, low, high FROM ranges) r WHERE r.disk = p_partkey % 20 AND r.low < p_size * 40 + 60 AND p_size * 40 < r.high)""", "part", "ranges")
-def j12_uncovered_partitions_all(part, ranges):
+def j12_uncovered_partitions(part, ranges):
     """Partitions that no volume of any owner lies on. Of the volumes that begin at one place the longest tells."""
     p = part.select(F.col("p_partkey").alias("partition_id"), (F.col("p_partkey") % 20).alias("disk"), (F.col("p_size") * 40).cast("long").alias("b_low"), (F.col("p_size") * 40 + 60).cast("long").alias("b_high"))
     volumes = ranges.groupBy((F.col("owner") % 20).alias("disk"), "low").agg(F.max("high").alias("high"))

@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cairn.operators.verify import violations
-from cairn.plans.blocks import compared
 from cairn.plans.catalog import query
 
 
@@ -65,13 +64,6 @@ def v7_progress_rules(jobs):
     return violations(jobs, "job_id", {"processed_at_most_logical": n.isNull() | (p <= n), "whole_when_done": (F.col("state") != 4) | (p == n), "not_negative": p >= 0})
 
 
-@query("""WITH s AS (SELECT block_index, chunk, CASE WHEN is_free THEN 1 WHEN is_zero THEN 2 ELSE 3 END AS state FROM blocks)
-SELECT chunk, count(*) AS blocks, CAST(sum(CASE WHEN state = 3 THEN 1 ELSE 0 END) AS BIGINT) AS readable, count(*) = 64 AS whole FROM s GROUP BY chunk""", "blocks")
-def v8_recoverability(blocks):
-    """How many blocks of each chunk hold data that can be read, and whether the chunk is whole."""
-    return compared(blocks).groupBy("chunk").agg(F.count(F.lit(1)).alias("blocks"), F.count_if(F.col("state") == 3).alias("readable"), (F.count(F.lit(1)) == 64).alias("whole"))
-
-
 @query(_sql("new_files", "entry_id", {"name": "length(name) BETWEEN 1 AND 12", "time": "write_time >= 0", "size": "size < 400000"}), "new_files")
 def v9_entry_rules(new_files):
     return violations(new_files, "entry_id", {"name": F.length("name").between(1, 12), "time": F.col("write_time") >= 0, "size": F.col("size") < 400_000})

@@ -63,11 +63,11 @@ def test_every_point_has_its_subtree_and_its_delete_plan(spark):
     df = points(spark)
     seen, up = walked(df)
     below = {(t, i, d) for i, chain in up.items() for d, t in enumerate(chain)}
-    found = [tuple(r) for r in graph_plans.g5_descendants_all(df).collect()]
+    found = [tuple(r) for r in graph_plans.g5_descendants(df).collect()]
     assert len(found) == len(below) and set(found) == below
     members = lambda r: [".bhx"] * r["has_sidecar"] + [f".{p:03d}" for p in range(r["parts"] - 1, 0, -1)] + ["main"]
     plans_found = {}
-    for r in sorted(graph_plans.g6_delete_plan_all(df).collect()):
+    for r in sorted(graph_plans.g6_delete_plan(df).collect()):
         plans_found.setdefault((r["target"], r["point"], r["depth"]), []).append((r["ordinal"], r["member"]))
     assert {k: [m for _, m in sorted(v)] for k, v in plans_found.items()} == {k: members(seen[k[1]]) for k in below}
 
@@ -75,10 +75,10 @@ def test_every_point_has_its_subtree_and_its_delete_plan(spark):
 def test_every_point_has_its_chain_and_its_verdict(spark):
     df = points(spark)
     seen, up = walked(df)
-    found = [tuple(r) for r in graph_plans.g2_chain_base_first_all(df).collect()]
+    found = [tuple(r) for r in graph_plans.g2_chain_base_first(df).collect()]
     assert sorted(found) == sorted((i, p, n) for i, chain in up.items() for n, p in enumerate(reversed(chain)))
     usable = {i: seen[c[-1]]["backup_type"] == 1 and len({seen[p]["backup_set"] for p in c}) == 1 and len(c) <= 129 for i, c in up.items()}
-    found = [tuple(r) for r in graph_plans.g9_volume_parent_all(df).collect()]
+    found = [tuple(r) for r in graph_plans.g9_volume_parent(df).collect()]
     assert len(found) == len(usable) and dict(found) == usable
 
 
@@ -87,9 +87,9 @@ def test_volumes_of_every_owner_count(spark):
     df = [(o, o * 131 % 2000 + 40 * k, o * 131 % 2000 + 40 * k + 1 + o % 9) for o in range(1, 90) for k in range(2)]
     parts, rows = spark.createDataFrame(part, "p_partkey long, p_size int"), ranges(spark, df)
     bare = [p for p, n in part if not any(o % 20 == p % 20 and low < n * 40 + 60 and n * 40 < high for o, low, high in df)]
-    assert sorted(r[0] for r in plans.j12_uncovered_partitions_all(parts, rows).collect()) == bare
+    assert sorted(r[0] for r in plans.j12_uncovered_partitions(parts, rows).collect()) == bare
     first = {(o, low): min(m) for o, low, _ in df if (m := [p for p, n in part if p % 20 == o % 20 and n == low % 50 + 1])}
-    assert bare and first and {(r[0], r[1]): r[2] for r in control.n6_first_match_all(rows, parts).collect()} == first
+    assert bare and first and {(r[0], r[1]): r[2] for r in control.n6_first_match(rows, parts).collect()} == first
 
 
 def tree(spark):
@@ -104,15 +104,15 @@ def test_restore_order_has_every_entry(spark):
     up = {i: p for i, p, _ in rows}
     depth = lambda i: 0 if up[i] is None else 1 + depth(up[i])
     order = sorted(rows, key=lambda r: (r[2], depth(r[0]) if r[2] == 1 else 0, r[0]))
-    found = sorted(control.o11_restore_order_all(df).collect(), key=lambda r: r["nth"])
+    found = sorted(control.o11_restore_order(df).collect(), key=lambda r: r["nth"])
     assert [(r["entry_id"], r["kind"], r["depth"], r["nth"]) for r in found] == [(i, k, depth(i) if k == 1 else None, n) for n, (i, _, k) in enumerate(order, 1)]
 
 
 def test_every_entry_has_a_height_and_every_point_a_next_step(spark):
     rows, df = tree(spark)
     height = lambda i: max((1 + height(c) for c, p, _ in rows if p == i), default=0)
-    assert sorted(tuple(r) for r in graph_plans.o12_post_order_all(df).collect()) == sorted((i, height(i)) for i, _, _ in rows)
+    assert sorted(tuple(r) for r in graph_plans.o12_post_order(df).collect()) == sorted((i, height(i)) for i, _, _ in rows)
     gone = [10, 11, 97, 300]
     tombstones = spark.createDataFrame([(i * 10, i) for i in gone], "operation_id long, file_id long")
-    found = sorted(tuple(r) for r in dml.z7_delete_resume_all(points(spark), tombstones).collect())
+    found = sorted(tuple(r) for r in dml.z7_delete_resume(points(spark), tombstones).collect())
     assert found == [(i, "plan" if i not in gone else "resume" if i % 2 else "done") for i in range(1, 420)]
