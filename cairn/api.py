@@ -55,15 +55,24 @@ def list_audit_events(events: DataFrame, severity=None, correlation_id=None, sta
     return _page(events.where(wanted), "audit", _described(severity=severity, correlation_id=correlation_id, start=start, end=end), "created_utc_ms", "event_id", size, token)
 
 
+def _chains_of(catalog: DataFrame, tips: DataFrame) -> DataFrame:
+    """The rows of the tips and of all points that they build on, as far as they are there."""
+    ids = graph.above(catalog, tips, "file_uuid", "parent_uuid").withColumnRenamed("id", "file_uuid")
+    return catalog.join(ids, "file_uuid", "left_semi")
+
+
 def list_recovery_points(catalog: DataFrame, size=None, after=None) -> Page:
-    """Points in order of their id with the state of their chain."""
+    """Points in order of their id with the state of their chain. Only the chains of the page are followed."""
     found = paging.by_key(catalog, "file_uuid", size, after).orderBy("file_uuid").collect()
-    states = graph.tops(catalog, "file_uuid", "parent_uuid")
-    kinds = catalog.select(F.col("file_uuid").alias("top"), F.col("backup_type").alias("top_type"))
     ids = [r["file_uuid"] for r in found]  # one page
-    known = {r["id"]: r["top_type"] == 1 and not r["missing"] and not r["deep"] for r in states.where(F.col("id").isin(ids)).join(kinds, "top").collect()} if ids else {}
+    if not ids:
+        return Page([], None)
+    own = _chains_of(catalog, catalog.where(F.col("file_uuid").isin(ids)))
+    states = graph.tops(own, "file_uuid", "parent_uuid").where(F.col("id").isin(ids))
+    kinds = own.select(F.col("file_uuid").alias("top"), F.col("backup_type").alias("top_type"))
+    known = {r["id"]: r["top_type"] == 1 and not r["missing"] and not r["deep"] for r in states.join(kinds, "top").collect()}
     rows = [r.asDict() | {"chain_state": "complete" if known[r["file_uuid"]] else "incomplete"} for r in found]
-    return Page(rows, ids[-1] if rows and rows[-1]["has_more"] else None)
+    return Page(rows, ids[-1] if rows[-1]["has_more"] else None)
 
 
 def list_source_inventory(sources: DataFrame, available_only=True, size=None, after=None) -> Page:
@@ -74,13 +83,31 @@ def list_source_inventory(sources: DataFrame, available_only=True, size=None, af
 
 def resolve_chain(catalog: DataFrame, tip: str) -> list[dict]:
     """The chain of a tip with the base first. Neither restoring nor mounting is said to be possible here."""
-    pairs = graph.ancestors(catalog, "file_uuid", "parent_uuid").where(F.col("id") == tip)
+    own = _chains_of(catalog, catalog.where(F.col("file_uuid") == tip))
+    pairs = graph.ancestors(own, "file_uuid", "parent_uuid").where(F.col("id") == tip)
     points = pairs.join(catalog.withColumnRenamed("file_uuid", "ancestor"), "ancestor").orderBy(F.desc("distance")).collect()  # at most 129
     if not points:
         raise NotFound(tip)
     return [{"file_uuid": r["ancestor"], "backup_type": r["backup_type"], "restore_eligible": False, "mount_eligible": False} for r in points]
 
 
+def get_recovery_point_layout(manifests: DataFrame, file_uuid: str) -> list[dict]:
+    """The disks of a point as its manifest has them: partitions in order of their offset, each with the letter of the
+    first volume that has an extent which begins in it or covers it. manifests: file_uuid and the columns of MANIFEST."""
+    found = manifests.where(F.col("file_uuid") == file_uuid).select("disks", "volumes")
+    if found.isEmpty():
+        raise NotFound(file_uuid)
+    disks = found.select(F.explode("disks").alias("d")).select("d.disk_number", "d.disk_size", "d.partition_style", F.explode_outer("d.partitions").alias("p"))
+    parts = disks.select("disk_number", "disk_size", "partition_style", F.col("p.number").alias("partition_number"), F.col("p.offset").alias("offset"), F.col("p.size").alias("size"))
+    volumes = found.select(F.explode("volumes").alias("v")).select("v.volume_index", F.left(F.get("v.mount_points", F.lit(0)), F.lit(2)).alias("letter"), F.explode("v.extents").alias("e"))
+    extents = volumes.select("volume_index", "letter", F.col("e.disk_number").alias("disk_number"), F.col("e.physical_offset").alias("low"), (F.col("e.physical_offset") + F.col("e.length")).alias("high"))
+    end = F.col("offset") + F.col("size")
+    lies = ((F.col("low") >= F.col("offset")) & (F.col("low") < end)) | ((F.col("low") <= F.col("offset")) & (F.col("high") >= end))
+    first = parts.join(extents, "disk_number").where(lies).groupBy("disk_number", "partition_number").agg(F.min(F.struct("volume_index", "letter")).alias("first"))
+    rows = parts.join(first, ["disk_number", "partition_number"], "left").select(*parts.columns, F.col("first.letter").alias("letter"))
+    return [r.asDict() for r in rows.orderBy("disk_number", "offset").collect()]  # one manifest
+
+
 def plan_delete(catalog: DataFrame, target: str) -> DataFrame:
     """The points that go with a target, with their depth below it; the deepest go first."""
     found = graph.descendants(catalog, catalog.where(F.col("file_uuid") == target), "file_uuid", "parent_uuid")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn import api
 from cairn.functions.errors import Conflict, InvalidArgument, NotFound, Unsupported
-from cairn.model.records import CATALOG_ENTRY, JOB, TOMBSTONE, columns
+from cairn.model.records import CATALOG_ENTRY, JOB, MANIFEST, TOMBSTONE, columns
 from cairn.sources import catalog_json
 from cairn.streaming import progress
 
@@ -60,6 +60,16 @@ def test_recovery_points(spark):
         api.service_settings(2)
 
 
+def test_layout_of_a_point(spark):
+    disks = [(0, 1000, "GPT", [(2, 500, 400), (1, 100, 300)]), (1, 500, "MBR", [])]
+    volumes = [(7, ["D:\\", "mnt"], 300, 0, False, [(0, 2, 450, 0, 600)]), (3, ["C:\\"], 300, 10, True, [(0, 1, 100, 0, 300)]), (4, [], 10, 0, False, [(0, 1, 110, 0, 5)])]
+    df = spark.createDataFrame([("a", disks, volumes)], f"file_uuid string, {MANIFEST}")
+    found = [(r["disk_number"], r["partition_number"], r["offset"], r["letter"]) for r in api.get_recovery_point_layout(df, "a")]
+    assert found == [(0, 1, 100, "C:"), (0, 2, 500, "D:"), (1, None, None, None)]
+    with pytest.raises(NotFound):
+        api.get_recovery_point_layout(df, "b")
+
+
 def test_catalogue_objects(spark, tmp_path):
     for e in (entry("a", None, 1), entry("b", "a", 2)):
         (tmp_path / f"{e['file_uuid']}.json").write_text(json.dumps(e))
