@@ -44,3 +44,17 @@ def label(raw: Column, most: int = 256) -> Column:
 def fingerprint(*fields: Column) -> Column:
     """Fields with their length in bytes before them, so that no two lists of fields give one text."""
     return F.concat(*(F.concat(F.octet_length(f).cast("string"), F.lit(":"), f, F.lit(";")) for f in fields))
+
+
+def percent_encoded(text: Column) -> Column:
+    """UTF-8 bytes other than letters, digits and ``-_.:`` as ``%`` and two lower-case hexadecimal digits."""
+    digits = F.hex(F.encode(text, "UTF-8"))
+    pairs = F.transform(F.filter(F.sequence(F.lit(0), F.length(digits).cast("int") - 2, F.lit(2)), lambda k: F.length(digits) > 0), lambda k: F.substring(digits, k + 1, 2))
+    plain = lambda p: F.decode(F.unhex(p), "US-ASCII")
+    shown = F.transform(pairs, lambda p: F.when(plain(p).rlike("^[A-Za-z0-9_.:-]$"), plain(p)).otherwise(F.concat(F.lit("%"), F.lower(p))))
+    return F.when(F.length(text) == 0, "").otherwise(F.array_join(shown, ""))
+
+
+def percent_decoded(text: Column) -> Column:
+    """The text that percent_encoded() was given."""
+    return F.url_decode(text)

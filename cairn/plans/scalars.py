@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairn.functions import calendar, texts, tokens
+from cairn.functions import calendar, texts
 from cairn.plans.catalog import query
 
 
@@ -58,11 +58,13 @@ def c7_expiry(jobs):
     return jobs.select("job_id", until.alias("preflight_until"), (F.col("created_ms") + 1_800_000).alias("plan_until"), (until < 900_000_000_000).alias("expired"))
 
 
-@query("SELECT 'a b|c%' AS plain, 'a%20b%7cc%25' AS encoded, true AS round_trip", "region")
-def t1_percent_encoding(region):
-    text = "a b|c%"
-    encoded = tokens.percent_encode(text)
-    return region.limit(1).select(F.lit(text).alias("plain"), F.lit(encoded).alias("encoded"), F.lit(tokens.percent_decode(encoded) == text).alias("round_trip"))
+@query("""WITH h AS (SELECT event_id, arguments AS plain, hex(encode(arguments)) AS hex FROM audit),
+b AS (SELECT event_id, plain, list_transform(range(0, length(hex) // 2), lambda k: substr(hex, 2 * k + 1, 2)) AS pairs FROM h)
+SELECT event_id, plain, array_to_string(list_transform(pairs, lambda p: CASE WHEN p < '80' AND regexp_matches(chr(CAST(concat('0x', p) AS INT)), '[A-Za-z0-9_.:-]') THEN chr(CAST(concat('0x', p) AS INT)) ELSE concat('%', lower(p)) END), '') AS encoded, true AS round_trip FROM b""", "audit")
+def t1_percent_encoding(audit):
+    """The arguments of every event, percent encoded; what was put in comes out again."""
+    encoded = audit.select("event_id", F.col("arguments").alias("plain"), texts.percent_encoded(F.col("arguments")).alias("encoded"))
+    return encoded.withColumn("round_trip", texts.percent_decoded(F.col("encoded")) == F.col("plain"))
 
 
 @query("SELECT o_custkey AS schedule_id, string_agg(CAST(o_orderkey AS VARCHAR), '|' ORDER BY o_orderkey) AS encoded, count(*) AS n FROM orders GROUP BY o_custkey", "orders")
@@ -130,7 +132,8 @@ def m3_bits_and_blocks(orders):
     return orders.select(F.col("o_orderkey").alias("id"), F.shiftright("o_orderkey", 3).bitwiseAND(F.lit(1)).cast("long").alias("bit"), F.expr(f"({size} + 4095) div 4096").alias("blocks"), F.expr(f"({size} + 511) div 512 * 512").alias("aligned"))
 
 
-@query(None, "nation")
+@query("""SELECT n_nationkey AS id, xor(list_reduce(list_transform(range(1, CAST(octet_length(encode(n_name)) AS BIGINT) + 1), lambda k: CAST(ascii(substr(n_name, k, 1)) AS BIGINT)),
+lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, (x & 1) * 3988292384)), CAST(4294967295 AS BIGINT)), 4294967295) AS crc FROM nation""", "nation")
 def m4_crc32(nation):
     return nation.select(F.col("n_nationkey").alias("id"), F.crc32(F.col("n_name").cast("binary")).alias("crc"))
 
@@ -155,7 +158,8 @@ def h2_root_digest(blocks):
     return blocks.groupBy("chunk").agg(F.sha2(F.concat(F.lit("root|"), F.count(F.lit(1)).cast("string"), F.lit("|"), F.array_join(F.transform(each, lambda x: x["d"]), "")), 256).alias("root"))
 
 
-@query(None, "nation")
+@query("""SELECT n_nationkey AS id, CAST(list_reduce(list_transform(range(1, CAST(octet_length(encode(n_name)) AS BIGINT) + 1), lambda k: CAST(ascii(substr(n_name, k, 1)) AS HUGEINT)),
+lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616, CAST(14695981039346656037 AS HUGEINT)) AS VARCHAR) AS fnv FROM nation""", "nation")
 def h3_fnv1a(nation):
     """FNV-1a of a name, folded over its bytes. Products are kept within 64 bits by splitting the prime."""
     data = F.transform(F.sequence(F.lit(1), F.octet_length("n_name")), lambda k: F.ascii(F.substring("n_name", k, 1)).cast("decimal(38,0)"))
