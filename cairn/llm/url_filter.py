@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import UPPER, need, ship
+from cairn.llm.common import UPPER, need, new_names, ship
 
 Rule = tuple[str, str, str]  # verdict, host, path
 MAX_TRIE_RULES = 200_000
@@ -81,21 +81,28 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", defau
         found = [trie.match(h, p) for h, p in zip(hosts, paths)]
         return pd.DataFrame({"rule": [x and x[3] for x in found], "verdict": [x[4] if x else default for x in found]}, dtype=object)
 
-    judged = parsed.withColumn("__found", judge("host", "path"))
-    return judged.select(*kept, "host", "path", F.col("__found.rule").alias("rule"), F.col("__found.verdict").alias("verdict"))
+    (name,) = new_names(parsed, "found")
+    judged = parsed.withColumn(name, judge("host", "path"))
+    return judged.select(*kept, "host", "path", F.col(f"{name}.rule").alias("rule"), F.col(f"{name}.verdict").alias("verdict"))
 
 
 def _by_join(parsed: DataFrame, rules: Sequence[Rule], default: str) -> DataFrame:
-    """For lists too long to broadcast: suffixes of each distinct host meet the rules in a shuffled join."""
+    """For lists too long to broadcast: suffixes of each distinct host and beginnings of its path meet the rules by
+    equality, in a shuffled join. A rule has a row for its path up to the last slash, and so has each url for every
+    directory that its path is in; what comes behind the slash is compared as it is. So a host suffix that many urls and
+    many rules share, such as a top-level domain, is split by directory."""
     spark = parsed.sparkSession
-    rows = spark.createDataFrame([(h, p, v) for v, h, p in rules], "r_host string, r_path string, r_verdict string")
+    rows = spark.createDataFrame([(h, p[: p.rfind("/") + 1], p, v) for v, h, p in rules], "r_host string, r_dir string, r_path string, r_verdict string")
     pairs = parsed.select("host", "path").distinct()
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    parts = F.split("path", "/")
+    dirs = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.when(n == 0, "").otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), n), "/"), F.lit("/"))))
     rank = F.struct(F.length("r_host") + F.length("r_path"), F.length("r_host"), F.col("r_verdict") == "block", F.concat("r_host", "r_path"), "r_verdict")
     best = (
         pairs.withColumn("suffix", F.explode(suffixes))
-        .join(rows, F.col("suffix") == F.col("r_host"))
+        .withColumn("dir", F.explode(F.array_distinct(dirs)))
+        .join(rows, (F.col("suffix") == F.col("r_host")) & (F.col("dir") == F.col("r_dir")))
         .where(F.expr("startswith(path, r_path)"))
         .groupBy("host", "path")
         .agg(F.max(rank).alias("best"))

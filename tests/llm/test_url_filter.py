@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from cairn.llm import url_filter
@@ -32,6 +34,19 @@ def test_cases_by_trie_and_by_join(spark, most):
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == CASES[r["page_id"]][1:]
 
 
+def test_both_ways_agree_with_all_rules_tried(spark):
+    rng = random.Random(3)
+    hosts, paths = ["com", "a.com", "b.a.com", "net", "a.net", "x"], ["", "/", "/a", "/a/", "/ab", "/a/b", "/a/b/c", "a", "//", "/a//b"]
+    rules = [(rng.choice(["allow", "block"]), rng.choice(hosts), rng.choice(paths)) for _ in range(25)]
+    urls = [f"http://{rng.choice(['', 'w.', 'q.'])}{rng.choice(hosts)}{rng.choice(['', '/', '/a', '/ab/c', '/a/b/c/d', '//', '/a//b/'])}" for _ in range(200)]
+    df = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)], "page_id long, url string, __found int")
+    for most in (100, 0):
+        for r in url_filter.filter_urls(df, rules, max_trie_rules=most).collect():
+            fits = [x for x in rules if (r["host"] == x[1] or r["host"].endswith("." + x[1])) and r["path"].startswith(x[2])]
+            best = max(fits, key=lambda x: (len(x[1]) + len(x[2]), len(x[1]), x[0] == "block"), default=None)
+            assert (r["rule"], r["verdict"]) == ((best[1] + best[2], best[0]) if best else (None, "allow"))
+
+
 def test_longest_wins_and_block_breaks_ties(spark):
     rules = [("allow", "a.com", "/x"), ("block", "a.com", "/x"), ("allow", "com", "/xyz/long"), ("block", "a.com", "/xy")]
     trie = url_filter.HostTrie(rules)
