@@ -11,7 +11,7 @@ tokenizer's own pre-tokens never depend on what stands before such a run or afte
 ASCII go to the tokenizer whole.
 
 Defined results: a null or empty text is its end mark alone; repeated rows are packed like others; an empty table
-gives an empty result.
+gives an empty result. Columns of docs beside key and text are not read.
 """
 
 from __future__ import annotations

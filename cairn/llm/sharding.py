@@ -9,6 +9,7 @@
 
 Defined results: a null text has size 0 plus the overhead and the checksum of nothing; repeated rows are dealt like
 others; an empty table gives an empty result. Rows follow neither their id nor their text, so hot groups spread evenly.
+Columns of the input beside key and text are not read.
 """
 
 from __future__ import annotations
@@ -43,10 +44,20 @@ def communication_matrix(held: np.ndarray, shards: int, seed: int) -> np.ndarray
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """numpy's draw needs populations under 10**9; above that the binomial draw, held to what is possible, is its limit."""
+    """How many of n rows drawn from good and bad ones are good. numpy's draw needs populations under 10**9; above that
+    the law's own probabilities are summed up, from the most likely number outwards."""
     if good + bad < 10**9:
         return int(rng.hypergeometric(good, bad, n))
-    return min(max(int(rng.binomial(n, good / (good + bad))), n - bad), good)
+    low, high = max(0, n - bad), min(good, n)
+    mode = min(max((n + 1) * (good + 1) // (good + bad + 2), low), high)
+    total = good + bad
+    spread = int(np.sqrt(n * (good / total) * (bad / total) * ((total - n) / max(1, total - 1)))) + 1
+    k = np.arange(max(low, mode - 40 * spread), min(high, mode + 40 * spread) + 1)  # what lies beyond is under 1e-300
+    to = k[:-1].astype(float)  # from each number to the next
+    steps = np.log(good - to) + np.log(n - to) - np.log(to + 1) - np.log(bad - n + to + 1)
+    weight = np.concatenate([[0.0], np.cumsum(steps)])
+    upto = np.cumsum(np.exp(weight - weight.max()))
+    return int(k[np.searchsorted(upto, rng.random() * upto[-1], "right")])
 
 
 def shard(rows: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 24, overhead: int = 8, seed: int = 20240611, rows_per_task: int = 50_000) -> DataFrame:
