@@ -7,6 +7,10 @@ length for each language. The prediction is the selected language with the large
 
 Defined results: ``und`` and 0 for a null text, one without a letter, or where nothing was learned. A null language is
 no label. Ties go to the first language by name. Repeated rows get equal results; an empty table gives an empty one.
+Columns of docs beside the named ones are not read; those that bear the name of a result column are replaced.
+
+Memory follows the number of languages: the model has BUCKETS numbers for each, and a block of texts is the shorter the
+more languages there are.
 """
 
 from __future__ import annotations
@@ -18,10 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import bytetext
-from cairn.llm.common import crc_bucket, need, tune
+from cairn.llm.common import crc_bucket, need, new_names, tune
 
 BUCKETS = 1 << 16
-MAX_LANGUAGES = 256
 ROUNDS = 8
 BLOCK = 1 << 19
 
@@ -70,8 +73,6 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     rows = docs.where(docs[text].isNotNull() & docs[lang].isNotNull() & (crc_bucket(docs[key], folds) != 0)).select(docs[text].alias("text"), docs[lang].alias("lang"))
     got = rows.mapInArrow(_counts, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(got["lang"].unique())
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"{len(names)} languages; at most {MAX_LANGUAGES} are told apart")
     counts = np.zeros((BUCKETS, max(1, len(names))))
     counts[got["bucket"].to_numpy(int), got["lang"].map({x: k for k, x in enumerate(names)}).to_numpy(int)] = got["n"].to_numpy(float)
     smooth = 0.5
@@ -136,6 +137,7 @@ def predict(docs: DataFrame, names: list[str], log_p: np.ndarray, text: str = "t
     need(docs, text)
     tune(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(log_p)
+    block = max(1 << 12, 4 * BLOCK // max(4, len(names)))
     has_letter = F.coalesce(docs[text].rlike(r"\p{L}"), F.lit(False))
     if not names:
         return docs.withColumns({lang_to: F.lit("und"), score_to: F.lit(0.0)})
@@ -144,7 +146,7 @@ def predict(docs: DataFrame, names: list[str], log_p: np.ndarray, text: str = "t
     def told(texts: pd.Series) -> pd.DataFrame:
         data, offsets = bytetext.buffers(pa.Array.from_pandas(texts, type=pa.string()))
         best, share = [], []
-        for lo, hi in bytetext.chunks(offsets, BLOCK):
+        for lo, hi in bytetext.chunks(offsets, block):
             own = offsets[lo : hi + 1]
             b, s = infer(data[own[0] : own[-1]], own - own[0], model.value)
             best.append(b)
@@ -152,5 +154,6 @@ def predict(docs: DataFrame, names: list[str], log_p: np.ndarray, text: str = "t
         found = np.concatenate(best) if best else np.zeros(0, int)
         return pd.DataFrame({"lang": np.array(names, object)[found], "score": np.concatenate(share) if share else np.zeros(0)})
 
-    out = docs.withColumn("__told", told(docs[text]))
-    return out.withColumns({lang_to: F.when(has_letter, F.col("__told.lang")).otherwise("und"), score_to: F.when(has_letter, F.least(F.col("__told.score"), F.lit(1.0))).otherwise(0.0)}).drop("__told")
+    (found,) = new_names(docs, "told")
+    out = docs.withColumn(found, told(docs[text]))
+    return out.withColumns({lang_to: F.when(has_letter, F.col(f"{found}.lang")).otherwise("und"), score_to: F.when(has_letter, F.least(F.col(f"{found}.score"), F.lit(1.0))).otherwise(0.0)}).drop(found)
