@@ -1,12 +1,13 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
 The trees are fitted on the driver on a bounded sample of labelled rows (``max_train_rows``, chosen by a hash of the
-id) and flattened into arrays; scoring walks all texts of a block through each tree at once. Statistics are found for
+id, and of the statistics where ids have many texts) and flattened into arrays; scoring walks all texts of a block through each tree at once. Statistics are found for
 whole texts, for all texts of a block at once.
 
 Defined results: a null text has the statistics of an empty one; a null label is no label; several labels of one id are
 averaged; without labelled rows, or with one class alone, the score is the share of label 1 (0.5 without rows).
-Repeated rows get equal scores; an empty table gives an empty result.
+Repeated rows get equal scores, and labelled rows of equal id and statistics are learned from once; an empty table gives
+an empty result. Columns of docs beside key and text are not read, and stay whatever their names are.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import bytetext
-from cairn.llm.common import crc_bucket, need, tune
+from cairn.llm.common import Scratch, crc_bucket, need, tune
 
 MAX_TRAIN_ROWS = 40_000
 _CLASSES = {
@@ -78,11 +79,14 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     capital = ((upper[ends] - upper[starts] >= 2) & (lower[ends] == lower[starts])).astype(float)
     lines, line_ends, first_line = bytetext.words(data, offsets, _NOT_LINE)
     line_count = np.diff(first_line).astype(float)
+    again_bytes = np.zeros(len(data))
+    again_bytes[1:] = data[1:] == data[:-1]
+    again_bytes[offsets[:-1][n > 0]] = 0  # not with the text before
     distinct_lines = _distinct(bytetext.span_hash(sums, lines, line_ends), first_line)
     cols += [
         np.log1p(n), np.log1p(count), mean, np.sqrt(np.maximum(_sums(length**2, first) / some - mean**2, 0)), _distinct(hashes, first) / some, _sums(again, first) / some, _sums(capital, first) / some,
         _sums((mark[ends] > mark[starts]).astype(float), first) / some, _sums((length <= 3).astype(float), first) / some, np.log1p(line_count), count / np.maximum(line_count, 1), 1 - distinct_lines / np.maximum(line_count, 1),
-        _sums(np.concatenate([[0], data[1:] == data[:-1]]) if len(data) else np.zeros(0), offsets) / safe,
+        _sums(again_bytes, offsets) / safe,
     ]
     return np.column_stack(cols).astype(np.float64)
 
@@ -193,14 +197,20 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     n = known.count()
     if n > max_train_rows:
         known = known.where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 20)) < int(max_train_rows / n * (1 << 20)))
-    rows = docs.select(docs[key].alias("id"), docs[text].alias("text")).join(F.broadcast(known), "id").select("text", "y")
+    rows = docs.select(docs[key].alias("id"), docs[text].alias("text")).join(F.broadcast(known), "id").select("id", "text", "y")
 
     def found(batches):
         for batch in batches:
-            x = np.concatenate([*_blocks(batch.column(0))]) if batch.num_rows else np.zeros((0, len(FEATURES)))
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
+            x = np.concatenate([*_blocks(batch.column(1))]) if batch.num_rows else np.zeros((0, len(FEATURES)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64())), batch.column(2)], ["id", "x", "y"])
 
-    got = rows.mapInArrow(found, "x array<double>, y double").toArrow()
+    kind = dict(rows.dtypes)["id"]
+    scratch = Scratch(docs.sparkSession, "quality")
+    learned = scratch.table(rows.mapInArrow(found, f"id {kind}, x array<double>, y double").groupBy("id", "x").agg(F.max("y").alias("y")), "learned")
+    n = learned.count()
+    if n > max_train_rows:
+        learned = learned.where(F.pmod(F.xxhash64("id", "x", F.lit(23)), F.lit(1 << 20)) < int(max_train_rows / n * (1 << 20)))
+    got = learned.select("x", "y").limit(2 * max_train_rows).toArrow()  # the hash leaves max_train_rows or so
     x = np.array(got.column("x").combine_chunks().flatten()).reshape(-1, len(FEATURES))
     y = (np.array(got.column("y")) >= 0.5).astype(float)
     order = np.lexsort(np.column_stack([x, y]).T)  # the same trees whatever the order of arrival
