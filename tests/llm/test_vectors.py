@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from helpers import Groups
 
 from cairn.llm import vector_dedup
@@ -47,17 +48,45 @@ def test_empty_table(spark):
     assert vector_dedup.link(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_recall_on_the_data_folder(spark, data):
-    df = spark.read.parquet(f"{data}/embeddings.parquet")
-    rows = [(r["vec_id"], r["embedding"], r["label"]) for r in df.collect()]
-    wanted = cosine_links(rows)
-    got = links(vector_dedup.link(df))
-    assert sum(n for n, _ in got.values()) >= 0.9 * sum(n for n, _ in wanted.values())
+def planted(d, common, labels=6, each=120, seed=3):
+    """Vectors around one direction (common > 0) or none, each with one or two others of a cosine just above 0.98."""
+    rng = np.random.default_rng(seed)
+    directed = lambda n: (x := rng.normal(size=(n, d)) + common * np.ones(d)) / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = []
+    for c in range(labels):
+        base = directed(each)
+        for copy in range(3):
+            noise = rng.normal(size=(each, d))
+            noise -= (noise * base).sum(1, keepdims=True) * base
+            noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+            made = base if copy == 0 else 0.981 * base + np.sqrt(1 - 0.981**2) * noise
+            rows += [(len(rows) + k, [float(y) for y in np.float32(x)], c) for k, x in enumerate(made[: each if copy < 2 else each // 4])]
+    return rows
+
+
+@pytest.mark.parametrize("d,common", [(8, 0.0), (64, 0.0), (64, 1.0), (768, 0.0), (768, 1.0), (64, 7.0)])
+def test_recall_on_planted_links(spark, d, common):
+    """7.0 puts all vectors of a label so close to one direction that most of them link."""
+    rows = planted(d, common, each=120 if d < 700 else 40)
+    got, wanted = links(vector_dedup.link(spark.createDataFrame([(*r, 1, 2) for r in rows], SCHEMA))), cosine_links(rows)
+    assert all(got[i][0] <= wanted[i][0] for i in got)
+    found, there = sum(n for n, _ in got.values()), sum(n for n, _ in wanted.values())
+    assert there >= len(rows) / 2 and found >= 0.97 * there
+
+
+def test_vectors_with_few_or_no_pivots(spark, monkeypatch):
+    """Most pivots have to be shared by all, and lengths that the sample misses are compared whole."""
+    monkeypatch.setattr(vector_dedup, "MIN_PIVOTS", 3)
+    monkeypatch.setattr(vector_dedup, "MAX_PIVOTS", 3)
+    rows = planted(16, 0.0, labels=2, each=40)
+    got, wanted = links(vector_dedup.link(spark.createDataFrame([(*r, 1, 2) for r in rows], SCHEMA))), cosine_links(rows)
+    assert got == wanted
 
 
 def test_lengths_without_pivots_still_link(spark, monkeypatch):
     """The sample of pivots is so small that it misses the length of two vectors."""
-    monkeypatch.setattr(vector_dedup, "SAMPLE", 40)
+    monkeypatch.setattr(vector_dedup, "MIN_PIVOTS", 20)
+    monkeypatch.setattr(vector_dedup, "MAX_PIVOTS", 20)
     rng = np.random.default_rng(9)
     rows = [(i, [float(x) for x in rng.normal(size=16)], 0) for i in range(400)]
     rows += [(4000 + i, [1.0, 1.0, 2.0 + i / 1000], 0) for i in range(2)]
