@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +82,21 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
+def lean(work):
+    """A function of batches that gives memory back to the system when its task ends. Workers are used again, and would
+    keep what their largest task took."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def need(df: DataFrame, *columns: str) -> None:
     if missing := [c for c in columns if c not in df.columns]:
         raise ValueError(f"missing columns: {', '.join(missing)}")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import Scratch
+from cairn.llm.common import Scratch, lean, new_names
 
 
 def by_group(df: DataFrame, keys: list[str], work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, few: int = 4096, then: tuple[str, ...] = ()) -> DataFrame:
@@ -40,7 +40,7 @@ def by_group(df: DataFrame, keys: list[str], work: Callable[[pa.Table], Iterator
         if rows:
             yield from work(pa.Table.from_batches(held))
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *then).mapInArrow(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *then).mapInArrow(lean(run), schema)
 
 
 def bounds(table: pa.Table, keys: list[str]) -> np.ndarray:
@@ -49,6 +49,28 @@ def bounds(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(key)]])
 
 
+SIEVE_BITS = 26
+
+
+def sieve(keys: DataFrame, columns: list[str], scratch: Scratch, name: str) -> Callable[..., DataFrame]:
+    """A function that adds to a frame whether keys may have the values of some columns: false for certain, or true. It
+    saves a join from dealing rows out that have no partner. Behind it is a bitmap of fixed size, broadcast as a table of
+    at most 2**20 words of 64 bits, whatever the input; where it is full everything passes, so that only speed depends
+    on it. No Python is run on the rows."""
+    place = lambda columns_: F.shiftrightunsigned(F.xxhash64(*columns_), 64 - SIEVE_BITS)
+    places = keys.select(place(columns).alias("place"))
+    words = places.groupBy(F.shiftrightunsigned("place", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("bits"))
+    words = scratch.table(words, name)
+
+    def mark(df: DataFrame, flag: str, *own: str) -> DataFrame:
+        at, word, bits = new_names(df, "place", "word", "bits")
+        met = df.withColumn(at, place(own)).join(F.broadcast(words.toDF(word, bits)), F.shiftrightunsigned(at, 6) == F.col(word), "left")
+        held = F.expr(f"shiftrightunsigned({bits}, cast({at} & 63 as int)) & 1") == 1
+        return met.withColumn(flag, F.coalesce(held, F.lit(False))).drop(at, word, bits)
+
+    return mark
+
+
 def least_reachable(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For nodes 0..count-1 with edges a-b: the smallest node that each reaches."""
     label = np.arange(count)
@@ -83,9 +105,10 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
     while last[0]:
         step += 1
         both = stars.select(F.col("u").alias("x"), F.col("v").alias("y")).union(stars.select("v", "u"))
-        least = scratch.table(both.groupBy("x").agg(F.min("y").alias("m")), f"{name}_{step}a")
-        large = scratch.table(both.join(least, "x").where("y > x").select(F.col("y").alias("u"), F.least("x", "m").alias("v")).distinct(), f"{name}_{step}b")
-        least = scratch.table(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}_{step}c")
+        # written, so that Spark can split the rows of a large star's centre in the join
+        least = scratch.table(both.groupBy("x").agg(F.min("y").alias("m")), f"{name}_{step}_least")
+        large = scratch.table(both.join(least, "x").where("y > x").select(F.col("y").alias("u"), F.least("x", "m").alias("v")).distinct(), f"{name}_{step}_large")
+        least = scratch.table(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}_{step}_lower")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         stars = scratch.table(small, f"{name}_{step}")
         now = check(stars)

@@ -1,19 +1,25 @@
 """Exact n-gram Jaccard join with signature trees.
 
-1. Texts become sets of word shingles (64-bit hashes). Equal sets are one class, which its smallest id stands for.
+1. Texts become sets of word shingles (64-bit hashes). Equal sets are one class, which its first row stands for.
 2. All sets are counted into a table of fixed size (``COUNTERS`` counters), which orders shingles by rarity. In any such
    order, two sets as similar as asked share a shingle among the first ``n - ceil(t * n) + 1`` of each.
 3. Classes that share such a shingle meet in the group of the smallest of them. There, a signature tree is built on
    their bitmaps: each node holds the OR of its members' token bitmaps, their range of sizes and their largest slack
-   (tokens beyond the bits set). Two trees are walked at once, and a pair of nodes is left out if its greatest possible
+   (tokens beyond the bits set). A bitmap has two to four bits for each token, so that it tells large sets apart as well as
+   small ones; there is a tree for each width, and a bitmap is folded to meet one of half its width (sets whose sizes
+   differ by more can't be similar). Two trees are walked at once, and a pair of nodes is left out if its greatest possible
    overlap is too small for its smallest sizes. What remains joins its members into clusters of candidates.
 4. The sets themselves go to these clusters alone, where overlaps are counted exactly.
 5. Links within a cluster leave as a forest; the components of all forests are found by star contraction.
 
-A group or cluster of more than BLOCK members is split into pairs of blocks; no pair is left out.
+A group or cluster of more than BLOCK members is compared within blocks first, twice, by two hashes. That connects near
+copies, whatever their number. Then only members of different components are compared, as pairs of blocks of fitting
+sizes; no pair that could join two components is left out.
 
 Defined results: a null or empty text has an empty set, and is linked with nothing, not even its like; a text of fewer
-words than a shingle has one shingle. Rows of equal id count as one document; an empty table gives an empty result.
+words than a shingle has one shingle. Rows of equal id are one document: each has its own set and size, a link of one is
+a link of all, and they are in one component. Rows with a null id link with nothing. An empty table gives an empty
+result. Columns of docs beside key and text are not read.
 """
 
 from __future__ import annotations
@@ -25,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import bytetext
-from cairn.llm.common import Scratch, need, tune
-from cairn.llm.groups import block_pairs, bounds, by_group, components, least_reachable
+from cairn.llm.common import Scratch, lean, need, tune
+from cairn.llm.groups import bounds, by_group, components, least_reachable, sieve
 
 COUNTERS = 1 << 22
 CHUNK = 1 << 16  # counters in one row of the table on its way
-WORDS = 16  # 64-bit words of a bitmap
+LEAST_BITS = 256  # in a bitmap
 BLOCK = 256
 FAN = 4
 TEXT_BLOCK = 1 << 19
@@ -52,17 +58,20 @@ def _count(batches, k: int):
     counters = np.zeros(COUNTERS, np.uint8)
     for batch in batches:
         n, a, b = (np.zeros(batch.num_rows, t) for t in (np.int64, np.uint64, np.uint64))
-        for r, s in _sets(batch, 1, k):
+        for r, s in _sets(batch, 2, k):
             n[r], a[r], b[r] = len(s), bytetext.mix(s).sum(), bytetext.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum()
             at = (s >> np.uint64(42)).astype(np.int64)
             at, times = np.unique(at, return_counts=True)
             counters[at] = np.minimum(counters[at].astype(np.int64) + times, 255)
         none = pa.nulls(batch.num_rows, pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), none, none, pa.nulls(batch.num_rows, pa.binary())], ["id", "n", "set_a", "set_b", "part", "task", "counts"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), none, none, pa.nulls(batch.num_rows, pa.binary())], _COUNT_NAMES)
     parts, task = COUNTERS // CHUNK, TaskContext.get().partitionId()
     none = pa.nulls(parts, pa.int64())
     blobs = pa.array([counters[i * CHUNK : (i + 1) * CHUNK].astype(np.uint16).tobytes() for i in range(parts)], pa.binary())
-    yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(parts), pa.int32()), pa.array([task] * parts, pa.int32()), blobs], ["id", "n", "set_a", "set_b", "part", "task", "counts"])
+    yield pa.RecordBatch.from_arrays([none] * 5 + [pa.array(range(parts), pa.int32()), pa.array([task] * parts, pa.int32()), blobs], _COUNT_NAMES)
+
+
+_COUNT_NAMES = ["id", "text_hash", "n", "set_a", "set_b", "part", "task", "counts"]
 
 
 def _add(table: pa.Table):
@@ -88,6 +97,11 @@ def _total(blobs: DataFrame, scratch: Scratch, at_once: int = 64) -> np.ndarray:
     return np.concatenate([np.frombuffer(r["counts"], np.uint16) for r in blobs.orderBy("part").collect()])
 
 
+def width_of(n: int) -> int:
+    """Bits in the bitmap of a set of n tokens."""
+    return max(LEAST_BITS, 1 << (2 * n - 1).bit_length())
+
+
 def prefix_size(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
@@ -95,13 +109,13 @@ def prefix_size(n: int, num: int, den: int) -> int:
 def _prefixes(batches, k: int, num: int, den: int, counts):
     for batch in batches:
         prefix, bitmap = [], []
-        for _, s in _sets(batch, 1, k):
-            bits = np.zeros(WORDS * 64, bool)
-            bits[(s & np.uint64(WORDS * 64 - 1)).astype(np.int64)] = True
+        for _, s in _sets(batch, 2, k):
+            bits = np.zeros(width_of(len(s)), bool)
+            bits[(s & np.uint64(len(bits) - 1)).astype(np.int64)] = True
             bitmap.append(np.packbits(bits, bitorder="little").tobytes())
             order = np.lexsort((s, counts.value[(s >> np.uint64(42)).astype(np.int64)]))
             prefix.append(s[order[: prefix_size(len(s), num, den)]].view(np.int64) if len(s) else np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prefix, pa.list_(pa.int64())), pa.array(bitmap, pa.binary())], ["id", "prefix", "bitmap"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prefix, pa.list_(pa.int64())), pa.array(bitmap, pa.binary())], ["id", "text_hash", "prefix", "bitmap"])
 
 
 class Tree:
@@ -151,26 +165,48 @@ def candidates(a: Tree, b: Tree, num: int, den: int) -> tuple[np.ndarray, np.nda
 _TASK = ["leader", "block_i", "block_j"]
 
 
+def similar(bitmaps: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, right: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of left and right members (of all two, if both are the same) that may be similar, by a tree for each width."""
+    widths, whole = np.array([len(b) for b in bitmaps]), left is right
+    stack = lambda rows: np.stack([bitmaps[r] for r in rows])
+    out: list[tuple] = []
+
+    def met(a: np.ndarray, b: np.ndarray, tree_a: Tree, tree_b: Tree):
+        i, j = candidates(tree_a, tree_b, num, den)
+        if len(i):
+            out.append((a[i], b[j]))
+
+    for w in np.unique(widths):
+        a, b = left[widths[left] == w], right[widths[right] == w]
+        tree_a = Tree(stack(a), sizes[a]) if len(a) else None
+        tree_b = tree_a if whole else Tree(stack(b), sizes[b]) if len(b) else None
+        if tree_a and tree_b and not (whole and len(a) < 2):
+            met(a, b, tree_a, tree_b)
+        for own, tree, others in ((a, tree_a, right), (b, tree_b, left))[: 1 if whole else 2]:
+            wider = others[widths[others] == 2 * w]
+            if tree and len(wider):
+                folded = stack(wider)
+                met(own, wider, tree, Tree(folded[:, :w] | folded[:, w:], sizes[wider]))
+    if not out:
+        none = np.zeros(0, np.int64)
+        return none, none
+    i, j = (np.concatenate(c) for c in zip(*out))
+    return i, j
+
+
 def _clusters(table: pa.Table, num: int, den: int):
     """For each member with a possible partner: the least member that it is joined with."""
     at = bounds(table, _TASK)
     ids, sizes, side = (table.column(c).to_numpy() for c in ("id", "n", "side"))
-    bitmaps = np.frombuffer(b"".join(table.column("bitmap").to_pylist()), np.uint64).reshape(-1, WORDS)
+    bitmaps = [np.frombuffer(b, np.uint64) for b in table.column("bitmap").to_pylist()]
     apart = table.column("block_i").to_numpy() != table.column("block_j").to_numpy()
     out: list[tuple] = []
     for lo, hi in zip(at[:-1], at[1:]):
-        rows = np.arange(lo, hi)
-        if apart[lo]:
-            left, right = rows[side[lo:hi] == 0], rows[side[lo:hi] == 1]
-            if not len(left) or not len(right):
-                continue
-            i, j = candidates(Tree(bitmaps[left], sizes[left]), Tree(bitmaps[right], sizes[right]), num, den)
-            i, j = left[i] - lo, right[j] - lo
-        else:
-            if hi - lo < 2:
-                continue
-            tree = Tree(bitmaps[lo:hi], sizes[lo:hi])
-            i, j = candidates(tree, tree, num, den)
+        if hi - lo < 2:
+            continue
+        rows = np.arange(hi - lo)
+        left, right = (rows[side[lo:hi] == 0], rows[side[lo:hi] == 1]) if apart[lo] else (rows, rows)
+        i, j = similar(bitmaps[lo:hi], sizes[lo:hi], left, right, num, den)
         if not len(i):
             continue
         label = least_reachable(hi - lo, i, j)
@@ -179,7 +215,7 @@ def _clusters(table: pa.Table, num: int, den: int):
         np.minimum.at(least, label, ids[lo:hi])
         out.append((least[label[some]], ids[lo:hi][some]))
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["root", "id"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["leader", "id"])
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -205,9 +241,9 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return np.rint(total).astype(np.int64)
 
 
-def _links(table: pa.Table, keys: list[str], num: int, den: int):
+def _links(table: pa.Table, num: int, den: int):
     """A forest of the exact links among each task's members."""
-    at = bounds(table, keys)
+    at = bounds(table, _TASK)
     ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
     apart = table.column("block_i").to_numpy() != table.column("block_j").to_numpy()
     blobs = table.column("members").to_pylist()
@@ -238,45 +274,115 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     spark = docs.sparkSession
     tune(spark)
     scratch = Scratch(spark, "shingles")
-    rows = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text"))
-    counted = scratch.table(rows.mapInArrow(lambda b: _count(b, shingle), "id bigint, n bigint, set_a bigint, set_b bigint, part int, task int, counts binary"), "counted")
+    rows = docs.select(docs[key].cast("long").alias("id"), F.xxhash64(docs[text]).alias("text_hash"), docs[text].alias("text"))
+    counted = scratch.table(rows.mapInArrow(lean(lambda b: _count(b, shingle)), "id bigint, text_hash bigint, n bigint, set_a bigint, set_b bigint, part int, task int, counts binary"), "counted")
     counts = spark.sparkContext.broadcast(_total(counted.where("part is not null").select("part", "task", "counts"), scratch))
-    each = counted.where("part is null").select("id", "n", "set_a", "set_b")
-    classes = scratch.table(each.where("n > 0 and id is not null").groupBy("n", "set_a", "set_b").agg(F.min("id").alias("least")), "classes")
-
-    prefixes = rows.mapInArrow(lambda b: _prefixes(b, shingle, num, den, counts), "id bigint, prefix array<bigint>, bitmap binary")
-    own = prefixes.join(classes.groupBy(F.col("least").alias("id")).agg(F.max("n").alias("n")), "id")
-    own = scratch.table(own, "prefixes")
+    each = counted.where("part is null").select("id", "text_hash", "n", "set_a", "set_b")
+    same = ["n", "set_a", "set_b"]
+    classes = each.where("n > 0 and id is not null").groupBy(*same).agg(F.min(F.struct("id", "text_hash")).alias("first"))
+    classes = scratch.table(classes.select(*same, "first.*", F.monotonically_increasing_id().alias("node")), "classes")
+
+    prefixes = rows.mapInArrow(lean(lambda b: _prefixes(b, shingle, num, den, counts)), "id bigint, text_hash bigint, prefix array<bigint>, bitmap binary")
+    prefixes = prefixes.groupBy("id", "text_hash").agg(F.any_value("prefix").alias("prefix"), F.any_value("bitmap").alias("bitmap"))  # equal rows
+    own = scratch.table(prefixes.join(classes.select("id", "text_hash", "node", "n"), ["id", "text_hash"]).select(F.col("node").alias("id"), "n", "prefix", "bitmap"), "prefixes")
     postings = own.select("id", F.explode("prefix").alias("token"))
     leaders = scratch.table(postings.groupBy("token").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("times")).where("times > 1").select("token", "leader"), "leaders")
-    members = scratch.table(postings.join(leaders, "token").select("leader", "id").distinct(), "members")
+    members = postings.join(leaders, "token").select("leader", "id").distinct()
+    members = scratch.table(members.join(own.select("id", "n"), "id"), "members")
     scratch.drop("leaders")
-    tasks = block_pairs(members.join(own.select("id", "n", "bitmap"), "id"), ["leader"], "id", BLOCK, scratch, "signature")
-    clusters = scratch.table(by_group(tasks, _TASK, lambda t: _clusters(t, num, den), "root bigint, id bigint").distinct(), "clusters")
 
-    # clusters of several groups with the same least member are one, so that a pair is seldom compared twice
-    near = scratch.table(clusters.groupBy("id").agg(F.collect_set("root").alias("roots")), "placed")
+    def clustered(tasks: DataFrame, name: str) -> DataFrame:
+        """Members of the groups that have a possible partner, with the least one that they are joined with."""
+        signed = tasks.join(own.select("id", "bitmap"), "id")
+        found = scratch.table(by_group(signed, _TASK, lambda t: _clusters(t, num, den), "leader bigint, id bigint").distinct(), f"{name}_found")
+        # clusters of several groups with the same least member are one, so that a pair is seldom compared twice
+        return scratch.table(found.join(own.select("id", "n"), "id"), name)
+
+    large = large_groups(members, scratch, "large_leaders")
+    clusters = clustered(dealt_once(members, large), "clusters")
+    large_clusters = large_groups(clusters, scratch, "large_clusters")
+    tasks = dealt_once(clusters, large_clusters).groupBy("id").agg(F.collect_list(F.struct(*_TASK, "side")).alias("tasks"))
+    later = members.join(large, "leader").select("id").unionByName(clusters.join(large_clusters, "leader").select("id")).distinct().withColumn("later", F.lit(True))
+    near = tasks.join(later, "id", "full").select(F.col("id").alias("node"), "tasks", F.coalesce("later", F.lit(False)).alias("later"))
+    near = scratch.table(near.join(classes.select("node", "id", "text_hash"), "node"), "placed")
 
     def sets(batches):
         for batch in batches:
-            blobs = [s.tobytes() for _, s in _sets(batch, 1, shingle)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary()), batch.column(2)], ["id", "members", "roots"])
-
-    held = rows.join(near, "id").select("id", "text", "roots").mapInArrow(sets, "id bigint, members binary, roots array<bigint>")
-    spread = held.select("id", "members", F.explode("roots").alias("root"))
-    dealt = block_pairs_of(clusters, spread, scratch)
-    keys = ["root", "block_i", "block_j"]
-    edges = scratch.table(by_group(dealt, keys, lambda t: _links(t, keys, num, den), "a bigint, b bigint", few=512).distinct(), "edges")
-    found = components(edges, scratch)
-    placed_rows = each.join(classes, ["n", "set_a", "set_b"], "left").join(found.select(F.col("id").alias("least"), "component"), "least", "left")
-    return placed_rows.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "least", "id").alias("component_id"))
-
-
-def block_pairs_of(clusters: DataFrame, spread: DataFrame, scratch: Scratch) -> DataFrame:
-    """As block_pairs(), with the sizes taken from the list of members, so that their sets are made once."""
-    group = ["root"]
-    large = scratch.table(clusters.groupBy(*group).count().where(F.col("count") > BLOCK).select(*group, F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "verify_large")
-    placed = spread.join(large, group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.withColumns({"block_i": F.least("own", "other").cast("long"), "block_j": F.greatest("own", "other").cast("long"), "side": F.when(F.col("own") > F.col("other"), 1).otherwise(0)}).drop("blocks", "own", "other")
+            batch = batch.take(pa.array(np.unique(batch.column(0).to_numpy(), return_index=True)[1]))  # equal rows are sent once
+            blobs = [s.tobytes() for _, s in _sets(batch, 3, shingle)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary()), batch.column(1), batch.column(2)], ["id", "members", "tasks", "later"])
+
+    maybe = sieve(near, ["id", "text_hash"], scratch, "sieve")
+    texts = maybe(rows, "maybe", "id", "text_hash").where("maybe").join(near, ["id", "text_hash"]).select("node", "tasks", "later", "text")
+    task = "array<struct<leader:bigint,block_i:bigint,block_j:bigint,side:int>>"
+    held = scratch.table(texts.mapInArrow(lean(sets), f"id bigint, members binary, tasks {task}, later boolean"), "held")
+
+    def exact(dealt: DataFrame, name: str) -> DataFrame:
+        return scratch.table(by_group(dealt, _TASK, lambda t: _links(t, num, den), "a bigint, b bigint", few=512).distinct(), name)
+
+    stock = held.where("later").select("id", "members")
+    edges = exact(held.select("id", "members", F.inline("tasks")), "edges")
+    if not (large.isEmpty() and large_clusters.isEmpty()):
+        found = components(edges, scratch, "components_of_blocks")
+        dealt = dealt_across(clusters, large_clusters, found, num, den, scratch, "of_clusters")
+        again = clustered(scratch.table(dealt_across(members, large, found, num, den, scratch, "of_leaders"), "leader_tasks"), "clusters_across")
+        large_again = large_groups(again, scratch, "large_clusters_across")
+        dealt = dealt.unionByName(dealt_once(again, large_again))
+        edges = edges.unionByName(exact(dealt.join(stock, "id"), "edges_across"))
+        if not large_again.isEmpty():
+            found = components(edges, scratch, "components_across")
+            dealt = dealt_across(again, large_again, found, num, den, scratch, "of_clusters_across")
+            edges = edges.unionByName(exact(dealt.join(stock, "id"), "edges_last"))
+    # all sets of one id are one document
+    nodes = scratch.table(each.join(classes.select(*same, "node", F.col("id").alias("least")), same).groupBy("id", "node", "least").agg(F.count(F.lit(1)).alias("rows")).drop("rows"), "nodes")
+    several = nodes.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("id", "a")
+    edges = edges.unionByName(nodes.join(several, "id").select("a", F.col("node").alias("b")))
+    found = components(edges, scratch).select(F.col("id").alias("node"), "component")
+    found = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())  # each with its least node
+    # a component is named by its smallest id
+    known = scratch.table(classes.select("node", "id").join(found, "node").select("node", "component", "id"), "known")
+    names = known.groupBy("component").agg(F.min("id").alias("name"))
+    named = known.join(names, "component").select("node", "name")
+    told = classes.select(*same, F.col("id").alias("least"), "node").join(named, "node", "left").select(*same, F.coalesce("name", "least").alias("component"))
+    out = each.join(told, same, "left")
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+
+
+def large_groups(members: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """leader and number of blocks of each group of more than BLOCK members."""
+    sizes = members.groupBy("leader").agg(F.count(F.lit(1)).alias("size"))
+    return scratch.table(sizes.where(F.col("size") > BLOCK).select("leader", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks")), name)
+
+
+def dealt_once(members: DataFrame, large: DataFrame) -> DataFrame:
+    """A task for each small group. Members of large ones go to two blocks, by two hashes, and each block is a task: in a
+    group of near copies that connects all of them."""
+    placed = members.join(large, "leader", "left").withColumn("turn", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    block = F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(F.col("turn") * F.col("blocks") + F.pmod(F.xxhash64("id", "turn"), F.col("blocks"))).cast("long")
+    return placed.withColumns({"block_i": block, "block_j": block, "side": F.lit(0)}).drop("blocks", "turn")
+
+
+def dealt_across(members: DataFrame, large: DataFrame, found: DataFrame, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs of large groups that may add to the components found so far, as pairs of blocks. A component of more
+    than BLOCK members has blocks of its own, which are not paired with each other; members of other components share
+    blocks. Blocks hold sizes whose ratio is at most that of the threshold, and are paired with those of their own range
+    and of the next."""
+    step = float(np.log(den / num)) * (1 + 1e-9) if den > num else 1.0  # a little more, for rounding
+    range_of = F.floor(F.log("n") / F.lit(step)).cast("long")
+    own = members.join(large, "leader").join(found, "id", "left").select("leader", "id", "n", F.coalesce("component", "id").alias("component"), range_of.alias("range"))
+    own = scratch.table(own, f"{name}_own")
+    per = own.groupBy("leader", "component").agg(F.count(F.lit(1)).alias("size"))
+    several = per.groupBy("leader").agg(F.count(F.lit(1)).alias("components")).where("components > 1").select("leader")
+    ranges = own.groupBy("leader", "range").agg(F.count(F.lit(1)).alias("there"))
+    sized = own.join(several, "leader").join(per, ["leader", "component"]).join(ranges, ["leader", "range"])
+    alone = F.col("size") > BLOCK
+    part = F.when(alone, F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK))).otherwise(F.pmod(F.xxhash64("component"), F.ceil(F.col("there") / BLOCK)))
+    placed = sized.select("leader", "id", "n", "range", F.when(alone, F.col("component")).alias("alone"), part.alias("part"))
+    placed = scratch.table(placed.withColumn("block", F.xxhash64("range", F.coalesce("alone", F.lit(-1)), "part")), f"{name}_placed")
+    blocks = placed.groupBy("leader", "block", "range", "alone").agg(F.count(F.lit(1)).alias("members")).drop("members")
+    other = blocks.toDF("leader", "other", "other_range", "other_alone")
+    near = (F.abs(F.col("range") - F.col("other_range")) <= 1) & (F.col("block") <= F.col("other")) & ~F.coalesce(F.col("alone") == F.col("other_alone"), F.lit(False))
+    pairs = scratch.table(blocks.join(other, "leader").where(near).select("leader", "block", "other"), f"{name}_pairs")
+    first = placed.join(pairs, ["leader", "block"]).select("leader", "id", "n", F.col("block").alias("block_i"), F.col("other").alias("block_j"), F.lit(0).alias("side"))
+    second = placed.join(pairs.where("block <> other").select("leader", F.col("block").alias("one"), F.col("other").alias("block")), ["leader", "block"])
+    return first.unionByName(second.select("leader", "id", "n", F.col("one").alias("block_i"), F.col("block").alias("block_j"), F.lit(1).alias("side")))

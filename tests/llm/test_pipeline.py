@@ -5,8 +5,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from helpers import frame
-from test_texts import contamination, linked
+from helpers import AWKWARD, frame
+from test_texts import contamination, first_stays, left_of, linked
 
 import corpus_pipeline as pipeline
 from cairn.llm import packing, quality, substrings
@@ -48,33 +48,20 @@ def test_quality_stage(spark, data, stages):
 
 def test_near_duplicate_stage(stages):
     before, after = stages["near_duplicates"]
-    groups = linked(rows(before), 5, 80, 100)
-    assert {i for i, _ in rows(after)} == {i for i, (_, c) in groups.items() if c == i}
+    assert {i for i, _ in rows(after)} == {i for i, _, c in linked(rows(before), 5, 80, 100) if c == i}
 
 
 def test_repeated_passage_stage(stages):
     before, after = stages["repeated_passages"]
-    n, seen, wanted = substrings.LENGTH, set(), {}
-    for i, t in sorted(rows(before)):
-        body = (t or "").encode()
-        cut = bytearray(len(body))
-        for k in range(len(body) - n + 1):
-            if body[k : k + n] in seen:
-                cut[k : k + n] = b"\1" * n
-            seen.add(body[k : k + n])
-        kept, k = b"", 0
-        while k < len(body):  # whole characters go, or none of their bytes
-            end = k + 1
-            while end < len(body) and body[end] & 0xC0 == 0x80:
-                end += 1
-            if not all(cut[k:end]):
-                kept += body[k:end]
-            k = end
-        wanted[i] = kept.decode()
-    assert dict(rows(after)) == wanted
+    assert left_of(after) == first_stays(rows(before), substrings.LENGTH)
     assert all(r["n_chars"] == len(r["text"]) for r in after.collect())
 
 
+def test_repeated_passage_stage_on_awkward_rows(spark, data):
+    docs = frame(spark).select(*pipeline.COLUMNS)
+    assert left_of(pipeline.repeated_passages(spark, docs, data)) == first_stays(AWKWARD, substrings.LENGTH)
+
+
 def test_leak_stage(spark, data, stages):
     before, after = stages["benchmark_leaks"]
     items = [tuple(r) for r in spark.read.parquet(f"{data}/benchmark.parquet").select("item_id", "text").collect()]
