@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import bytetext
-from cairn.llm.common import Scratch, need, new_names, tune
-from cairn.llm.groups import bounds, by_group
+from cairn.llm.common import Scratch, lean, need, new_names, tune
+from cairn.llm.groups import bounds, by_group, sieve
 
 LENGTH = 200
 ANCHOR = 64
@@ -200,7 +200,7 @@ def suffix_order(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.nd
     while known < length:
         step = min(known, length - known)
         follow = np.zeros(n, np.uint64)
-        follow[: n - step] = rank[step:]
+        follow[: max(0, n - step)] = rank[step:]
         known += step
         rank = np.unique((rank << np.uint64(32)) | follow, return_inverse=True)[1].astype(np.uint64)
     order = whole[np.argsort(rank[whole], kind="stable")]
@@ -339,14 +339,15 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, length: int = LENGTH, k:
     text one is to stay. docs: id, text_hash, text."""
     doc = F.xxhash64("id", "text_hash").alias("doc")
     copies = _copies(docs, scratch, length)
-    spots = scratch.table(docs.select(doc, "text").mapInArrow(lambda b: _anchors(b, length, k), "doc bigint, anchor bigint, spot bigint"), "spots")
+    spots = scratch.table(docs.select(doc, "text").mapInArrow(lean(lambda b: _anchors(b, length, k)), "doc bigint, anchor bigint, spot bigint"), "spots")
     often = scratch.table(spots.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "often")
     lists = scratch.table(spots.join(often, "anchor").groupBy("doc").agg(F.collect_list(F.struct("anchor", "spot")).alias("held")), "lists")
     scratch.drop("spots", "often")
     told = copies.groupBy(doc).agg(F.collect_set(F.struct("id", "text_hash", "first")).alias("copies"))
     lists = scratch.table(lists.join(told, "doc", "left"), "lists_told")
-    texts = docs.withColumn("doc", doc).join(lists, "doc").select("id", "text_hash", "text", "held", "copies")
-    units = scratch.table(texts.mapInArrow(lambda b: _units(b, length, k), _UNITS), "units")
+    maybe = sieve(lists, ["doc"], scratch, "listed")
+    texts = maybe(docs.withColumn("doc", doc), "maybe", "doc").where("maybe").join(lists, "doc").select("id", "text_hash", "text", "held", "copies")
+    units = scratch.table(texts.mapInArrow(lean(lambda b: _units(b, length, k)), _UNITS), "units")
     scratch.drop("lists", "lists_told")
 
     kinds = scratch.table(units.groupBy("anchor", "context").agg(F.sum("times").alias("total"), F.min(F.struct("id", "text_hash", "spot")).alias("one")), "kinds")
@@ -408,11 +409,15 @@ def runs(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int =
             out = [[{"start": a, "end": b} for a, b in _merge(low[s:e], high[s:e], length)] if e > s else None for s, e in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), batch.column(3)], ["id", "text_hash", "runs", "twin"])
 
-    k, h, id_, hash_, cuts, twin, row, least = new_names(docs, "k", "h", "id", "hash", "runs", "twin", "row", "least")
+    k, h, id_, hash_, cuts, twin, row, least, maybe = new_names(docs, "k", "h", "id", "hash", "runs", "twin", "row", "least", "maybe")
     spans = scratch.table(found.mapInArrow(merged, "id bigint, text_hash bigint, runs array<struct<start:int,end:int>>, twin boolean"), "runs").toDF(id_, hash_, cuts, twin)
     scratch.drop("copies", "classes", "near", *(f"repeats{i}" for i in range(3)))
     both = docs.withColumns({k: own_key, h: own_text})
-    joined = both.join(spans, (both[k] == spans[id_]) & (both[h] == spans[hash_]), "left").drop(id_, hash_)
+    both = sieve(spans, [id_, hash_], scratch, "cut")(both, maybe, k, h)
+    asked = both.where(F.col(maybe)).drop(maybe)
+    joined = asked.join(spans, (asked[k] == spans[id_]) & (asked[h] == spans[hash_]), "left").drop(id_, hash_)
+    rest = both.where(~F.col(maybe)).drop(maybe).withColumns({cuts: F.lit(None).cast(spans.schema[cuts].dataType), twin: F.lit(None).cast("boolean")})
+    joined = joined.unionByName(rest)
     if not keep_first or spans.where(F.col(twin)).isEmpty():
         return joined.drop(k, h, twin), cuts
     # of rows equal in id and text, the one of the smallest number stays
