@@ -2,13 +2,14 @@
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
-from helpers import AWKWARD, Groups, fold, frame, letter_words, white_words
+from helpers import AWKWARD, LONG, Groups, fold, frame, letter_words, white_words
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -28,55 +29,71 @@ def shingles(text, k):
 
 
 def linked(rows, k, num, den):
-    sets = {i: shingles(t, k) for i, t in rows}
-    groups, holders = Groups(), defaultdict(list)
-    for i, s in sets.items():
-        for g in s:
-            holders[g].append(i)
-    for a, b in {(x, y) for ids in holders.values() for x in ids for y in ids if x < y}:
-        both = len(sets[a] & sets[b])
-        if den * both >= num * (len(sets[a]) + len(sets[b]) - both):
-            groups.join(a, b)
-    return {i: (len(s), groups.find(i)) for i, s in sets.items()}
+    """Set size of each row, and the smallest id of its component; all rows of an id are one document."""
+    sets, groups, holders = [(i, shingles(t, k)) for i, t in rows], Groups(), defaultdict(list)
+    for n, (i, s) in enumerate(sets):
+        for g in s if i is not None else ():
+            holders[g].append(n)
+    for n, m in {(n, m) for own in holders.values() for n in own for m in own if n < m}:
+        x, y = sets[n][1], sets[m][1]
+        both = len(x & y)
+        if den * both >= num * (len(x) + len(y) - both):
+            groups.join(sets[n][0], sets[m][0])
+    return sorted(((i, len(s), None if i is None else groups.find(i)) for i, s in sets), key=str)
+
+
+def joined(df):
+    return sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in df.collect()), key=str)
 
 
 @pytest.mark.parametrize("k,num,den", [(4, 85, 100), (5, 80, 100)])
 def test_jaccard_join_over_all_documents(spark, data, k, num, den):
     rows = documents(spark, data)
-    found = shingle_join.join(frame(spark, rows), shingle=k, num=num, den=den).collect()
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == linked(rows, k, num, den)
+    assert joined(shingle_join.join(frame(spark, rows), shingle=k, num=num, den=den)) == linked(rows, k, num, den)
 
 
-def test_jaccard_join_splits_large_groups(spark, monkeypatch):
-    monkeypatch.setattr(shingle_join, "BLOCK", 3)
+@pytest.mark.parametrize("block", [3, 6])
+def test_jaccard_join_splits_large_groups(spark, monkeypatch, block):
+    """A chain of near copies, and texts of many sizes that share a rare beginning but little else."""
+    monkeypatch.setattr(shingle_join, "BLOCK", block)
     base = [f"w{i}" for i in range(60)]
     rows = [(100 + n, " ".join(base[:n] + [f"new{n}"] + base[n + 1 :])) for n in range(1, 25)] + [(1, " ".join(base)), (500, "something else altogether here")]
-    found = shingle_join.join(frame(spark, rows), shingle=4, num=85, den=100).collect()
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == linked(rows, 4, 85, 100)
+    rows += [(200 + n, " ".join(base[: 60 - n])) for n in range(30)]
+    rows += [(600 + n, " ".join(base[:6] + [f"own{n // 2}x{j}" for j in range(10 + 2 * n + n % 2)])) for n in range(30)]
+    rows += [(700 + n, " ".join([f"x{j}" for j in range(80) if j != n])) for n in range(40)]
+    assert joined(shingle_join.join(frame(spark, rows), shingle=4, num=85, den=100)) == linked(rows, 4, 85, 100)
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    """Each has its own set; a smaller text of an id links although another one of the id is much larger."""
+    x = [f"x{i}" for i in range(60)]
+    other = " ".join(f"y{i}" for i in range(500))
+    rows = [(1, " ".join(x)), (1, other), (2, " ".join(x[:-2])), (3, other), (3, other), (4, "y1 y2 y3 y4 y5 y6"), (None, other), (None, None)]
+    assert joined(shingle_join.join(frame(spark, rows), shingle=4, num=85, den=100)) == linked(rows, 4, 85, 100)
 
 
 def test_jaccard_join_awkward_rows(spark):
-    found = shingle_join.join(frame(spark), shingle=4, num=85, den=100).collect()
-    assert len(found) == len(AWKWARD)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found if r["doc_id"] is not None}
-    assert got[2] == (9, 1) and got[3] == (0, 3) and got[4] == (0, 4) and got[5] == (0, 5)
-    assert got[6] == (1, 6) and got[8] == (1, 7) and got[11][1] == 10
-    assert shingle_join.join(frame(spark, [])).count() == 0
+    for rows in (AWKWARD, AWKWARD * 2, []):
+        assert joined(shingle_join.join(frame(spark, rows), shingle=4, num=85, den=100)) == linked(rows, 4, 85, 100)
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.frozensets(st.integers(0, 40), min_size=1, max_size=30), min_size=2, max_size=25))
-def test_tree_walk_loses_no_pair(sets):
+@given(st.lists(st.frozensets(st.integers(0, 90), min_size=1, max_size=85), min_size=1, max_size=12), st.integers(0, 40), st.sampled_from([64, 256]))
+def test_tree_walk_loses_no_pair(sets, gone, least_bits):
+    """Sets of several widths, and each of them without a few of its elements."""
+    sets = sets + [s - {gone, gone + 1, gone + 2} or s for s in sets]
     words = [np.unique(bytetext.mix(np.array(sorted(s), np.uint64))) for s in sets]
     sizes = np.array([len(w) for w in words])
-    maps = np.zeros((len(sets), shingle_join.WORDS), np.uint64)
-    for r, w in enumerate(words):
-        for x in w.tolist():
-            bit = x % (shingle_join.WORDS * 64)
-            maps[r, bit // 64] |= np.uint64(1 << (bit % 64))
-    tree = shingle_join.Tree(maps, sizes)
-    i, j = shingle_join.candidates(tree, tree, 80, 100)
-    pairs = {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist())}
+    maps = []
+    for w in words:
+        bits = np.zeros(max(least_bits, shingle_join.width_of(len(w)) if least_bits > 64 else 1 << (2 * len(w) - 1).bit_length()), bool)
+        bits[(w & np.uint64(len(bits) - 1)).astype(int)] = True
+        maps.append(np.packbits(bits, bitorder="little").view(np.uint64))
+    rows = np.arange(len(sets))
+    pairs = {tuple(sorted(p)) for p in zip(*(x.tolist() for x in shingle_join.similar(maps, sizes, rows, rows, 80, 100)))}
+    halves = rows[::2], rows[1::2]
+    across = {tuple(sorted(p)) for p in zip(*(x.tolist() for x in shingle_join.similar(maps, sizes, *halves, 80, 100)))}
+    assert {(a, b) for a, b in pairs if (a + b) % 2} == across
     for a in range(len(sets)):
         for b in range(a):
             both = len(sets[a] & sets[b])
@@ -131,6 +148,56 @@ def test_first_copy_stays_and_characters_stay_whole(spark):
     assert kept[2].startswith("ü before") and kept[2].endswith("after") and "passage1" not in kept[2]
 
 
+def first_stays(rows, n):
+    """(id, text left) of rows in order of id, whose later copies of n bytes are cut by whole characters."""
+    seen, out = set(), []
+    for i, t in sorted(rows, key=lambda r: -(2**63) if r[0] is None else r[0]):
+        body = (t or "").encode()
+        cut = bytearray(len(body))
+        for k in range(len(body) - n + 1):
+            if body[k : k + n] in seen:
+                cut[k : k + n] = b"\1" * n
+            seen.add(body[k : k + n])
+        starts = [k for k in range(len(body)) if body[k] & 0xC0 != 0x80] + [len(body)]
+        out.append((i, None if t is None else b"".join(body[a:b] for a, b in zip(starts, starts[1:]) if not all(cut[a:b])).decode()))
+    return sorted(out, key=str)
+
+
+def left_of(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+
+
+def test_one_of_equal_rows_stays(spark):
+    """Rows equal in id and text, a copy of another id, a text that shares a passage, and the awkward rows."""
+    rng = np.random.default_rng(4)
+    line = lambda n: " ".join(map(str, rng.integers(0, 10**9, n)))
+    shared = line(45)
+    a, b = line(40) + shared + line(40), line(30) + shared
+    rows = [(1, a), (1, a), (1, a), (2, b), (3, a), (4, line(50)), (4, line(60))]
+    for own in (rows, rows[:2] + rows[3:4], AWKWARD, [(7, b), (7, b), (None, b), (None, b)]):
+        df = frame(spark, own).withColumnRenamed("items", "__runs").withColumnRenamed("source", "__k").repartition(3)
+        found = substrings.remove(df)
+        assert found.columns == df.columns and left_of(found) == first_stays(own, substrings.LENGTH)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab", min_size=1, max_size=40), min_size=1, max_size=4), st.sampled_from([8, 9, 16, 20]))
+def test_previous_factors_by_hand(texts, n):
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    ends = np.repeat(np.cumsum([len(t) for t in texts]), [len(t) for t in texts])
+    order, rank = substrings.suffix_order(data, ends, n)
+    found = dict(zip(order.tolist(), substrings.previous_factors(order, rank).tolist()))
+    body, whole = bytes(data), [p for p in range(len(data)) if p + n <= ends[p]]
+    assert set(found) == set(whole)
+    for p in whole:
+        earlier = [q for q in whole if q < p and body[q : q + n] == body[p : p + n]]
+        assert found[p] in earlier if earlier else found[p] == -1
+    before, after = substrings.smaller_neighbours(order)
+    for i, v in enumerate(order):
+        assert before[i] == max((j for j in range(i) if order[j] < v), default=-1)
+        assert after[i] == min((j for j in range(i + 1, len(order)) if order[j] < v), default=-1)
+
+
 # ---- benchmark windows -----------------------------------------------------------------------------------------------
 
 
@@ -166,6 +233,17 @@ def test_windows_awkward_rows(spark, most):
     assert sorted((r["doc_id"] for r in clean.collect()), key=str) == sorted((d for d, _, hit, _ in contamination(AWKWARD, ITEMS) if not hit), key=str)
 
 
+def test_many_single_words_and_long_texts_beyond_the_bound(spark):
+    """Items of one word alone count for the bound like others, and long texts don't travel with every word."""
+    items = [(i, f"w{7 * i}") for i in range(3000)] + [(9000 + i, " ".join(f"w{j} the of" for j in range(i, i + 4))) for i in range(50)]
+    rows = [(10, LONG), (11, None), (12, LONG[5000:]), (None, "w7"), (13, "nothing here")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    scratch_plan = decontaminate.mark(frame(spark, rows), table, max_broadcast=1000)
+    assert "BroadcastHashJoin" not in scratch_plan._jdf.queryExecution().optimizedPlan().toString()
+    found = decontaminate.report(frame(spark, rows), table, max_broadcast=1000).collect()
+    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in found), key=str) == contamination(rows, items)
+
+
 def test_windows_with_empty_tables(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert decontaminate.report(frame(spark, []), items).count() == 0
@@ -248,6 +326,21 @@ def test_communication_matrix_sums_and_law():
     assert np.allclose(total / 400, held[:, None] / 3, atol=0.4)
 
 
+def test_draws_from_large_populations():
+    """The law above numpy's limit: where both can draw, both follow the same probabilities; beyond it, mean and spread."""
+    rng = np.random.Generator(np.random.PCG64(1))
+    real, sharding_limit = sharding._hypergeometric, 10**9
+    big = [real(rng, 3 * sharding_limit, 5 * sharding_limit, 4000) for _ in range(3000)]
+    mean, spread = 4000 * 3 / 8, math.sqrt(4000 * 3 / 8 * 5 / 8)
+    assert abs(np.mean(big) - mean) < 5 * spread / math.sqrt(3000) and 0.9 < np.std(big) / spread < 1.1
+    for good, bad, n in ((10, 2 * 10**9, 5), (2 * 10**9, 1, 2 * 10**9), (10**9, 10**9, 2 * 10**9 - 3), (0, 2 * 10**9, 7), (2 * 10**9, 0, 7)):
+        for _ in range(20):
+            k = real(rng, good, bad, n)
+            assert max(0, n - bad) <= k <= min(good, n)
+    matrix = sharding.communication_matrix(np.array([2 * 10**9, 10**9 + 7, 5]), 24, 3)
+    assert (matrix.sum(axis=1) == [2 * 10**9, 10**9 + 7, 5]).all() and np.ptp(matrix.sum(axis=0)) <= 1
+
+
 # ---- quality, language -----------------------------------------------------------------------------------------------------
 
 
@@ -271,6 +364,48 @@ def test_quality_awkward_rows(spark):
     assert quality.score(frame(spark, []), nothing).count() == 0
 
 
+def statistics_by_hand(text):
+    body = (text or "").encode()
+    n = len(body)
+    kinds = {
+        "upper": lambda b: 65 <= b <= 90, "lower": lambda b: 97 <= b <= 122, "digit": lambda b: 48 <= b <= 57, "other_letter": lambda b: b >= 128, "line": lambda b: b == 10, "space": lambda b: b in b"\t\x0b\x0c\r ",
+        "stop": lambda b: b in b",.:;?'\"", "mark": lambda b: b in b"!#$%&*+<=>@\\^_`{}~", "bar": lambda b: b in b"|-/", "control": lambda b: b < 9 or 14 <= b < 32 or b == 127,
+    }
+    out = [sum(map(f, body)) / max(1, n) for f in kinds.values()]
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", body) if w]
+    low = [w.lower() if w.isascii() else bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in words]
+    lines = [x for x in body.split(b"\n") if x]
+    m = max(1, len(words))
+    size = [len(w) for w in words]
+    mean = sum(size) / m
+    capital = [sum(map(kinds["upper"], w)) >= 2 and not any(map(kinds["lower"], w)) for w in words]
+    marked = [any(kinds["mark"](b) or kinds["bar"](b) for b in w) for w in words]
+    low_lines = [bytes(b + 32 if 65 <= b <= 90 else b for b in x) for x in lines]
+    out += [math.log1p(n), math.log1p(len(words)), mean, math.sqrt(max(0, sum(k * k for k in size) / m - mean**2)), len(set(low)) / m, sum(a == b for a, b in zip(low, low[1:])) / m, sum(capital) / m, sum(marked) / m]
+    out += [sum(k <= 3 for k in size) / m, math.log1p(len(lines)), len(words) / max(1, len(lines)), 1 - len(set(low_lines)) / max(1, len(lines)), sum(a == b for a, b in zip(body, body[1:])) / max(1, n)]
+    return out
+
+
+def test_statistics_by_hand(spark, data):
+    texts = [t for _, t in AWKWARD] + [t for _, t in documents(spark, data)] + ["A\n\nB b\nB b\n", "!!! ||| a-b", "\x00\x7f\n"]
+    found = np.concatenate(list(quality._blocks(pa.array(texts, pa.string()), limit=20_000)))
+    assert np.allclose(found, [statistics_by_hand(t) for t in texts], rtol=1e-9, atol=1e-7)
+
+
+def test_quality_learns_from_a_bounded_sample(spark):
+    """Many rows of few ids, and equal rows, come to the driver in bounded number."""
+    docs = spark.createDataFrame([(i % 3 + 1, f"text {i} " * (i % 7 + 1)) for i in range(900)] + [(1, "same text")] * 300, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    seen = []
+    fit = quality.fit
+    quality.fit = lambda x, y, **o: seen.append(len(y)) or fit(x, y, **o)
+    try:
+        quality.train(docs, labels, max_train_rows=100)
+    finally:
+        quality.fit = fit
+    assert 0 < seen[0] <= 200
+
+
 def test_trees_walk_as_they_were_grown():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2000, 5))
@@ -311,6 +446,83 @@ def test_language_awkward_rows_and_mixtures(spark):
     assert nobody == [] and {r["lang_pred"] for r in language.predict(docs, nobody, flat).collect()} == {"und"}
 
 
+def mixture_by_hand(text, names, log_p):
+    """Proportions by expectation-maximisation over the text's three-byte sequences, then the set of languages that grows
+    while the likelihood gains more than the penalty."""
+    body = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in (text or "").encode())
+    padded = b" " + body + b" "
+    codes = [((((padded[i] << 16) | (padded[i + 1] << 8) | padded[i + 2]) * 2654435761) & 0xFFFFFFFF) >> 16 for i in range(len(padded) - 2)]
+    counts = Counter(codes)
+    if not counts:
+        return 0, 0.0
+    p = {c: np.exp(log_p[c] - log_p[c].max()) for c in counts}
+
+    def run(start, rounds):
+        share = np.array(start, float)
+        for _ in range(rounds):
+            new = np.zeros(len(share))
+            for c, k in counts.items():
+                part = p[c] * share
+                new += k * part / max(part.sum(), 1e-300)
+            share = new / len(codes)
+        return share, sum(k * math.log(max(float(p[c] @ share), 1e-300)) for c, k in counts.items())
+
+    languages = len(names)
+    everything, _ = run([1 / languages] * languages, language.ROUNDS)
+    order = sorted(range(languages), key=lambda i: -everything[i])
+    chosen, value = run([float(i == order[0]) for i in range(languages)], 0)
+    penalty = 0.5 * math.log(len(codes))
+    for k in range(2, languages + 1):
+        start = np.array([everything[i] + 1e-6 if i in order[:k] else 0 for i in range(languages)])
+        mixed, ll = run(start / start.sum(), language.ROUNDS // 2)
+        if ll - penalty <= value:
+            break
+        chosen, value = mixed, ll
+    return int(chosen.argmax()), float(chosen.max())
+
+
+def test_mixtures_by_hand(spark, data):
+    """Every document of the data folder and the awkward ones."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    names, log_p = language.train(docs)
+    counts = Counter()
+    texts = [t for _, t in AWKWARD if t is None or len(t) < 3000] + [t for _, t in documents(spark, data) if t is None or len(t) < 3000]
+    column = pa.array(texts, pa.string())
+    best, share = language.infer(*bytetext.buffers(column), log_p)
+    for t, b, s in zip(texts, best, share):
+        hand = mixture_by_hand(t, names, log_p)
+        assert math.isclose(s, hand[1], rel_tol=1e-6, abs_tol=1e-9) and (b == hand[0] or s < 0.51)
+        counts[b] += 1
+    assert len(counts) >= 3
+
+
+def test_counts_of_sequences_by_hand(spark):
+    docs = frame(spark, [(i, t) for i, t in AWKWARD if i is not None])
+    names, log_p = language.train(docs)
+    total = Counter()
+    for i, t in AWKWARD:
+        if i is not None and t is not None and fold(i, 5):
+            body = b" " + bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in t.encode()) + b" "
+            total.update(((((body[k] << 16) | (body[k + 1] << 8) | body[k + 2]) * 2654435761) & 0xFFFFFFFF) >> 16 for k in range(len(body) - 2))
+    wanted = np.full(language.BUCKETS, 0.5)
+    for c, n in total.items():
+        wanted[c] += n
+    assert names == ["en"] and np.allclose(log_p[:, 0], np.log(wanted / wanted.sum()))
+
+
+def test_many_languages(spark):
+    """More languages than fit a byte, each with words of its own."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(chr(x) for x in rng.integers(97, 123, 9))
+    rows = [(5 * k + 1, " ".join([word(), word(), word()] * 4), f"l{k:03d}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names, log_p = language.train(docs)
+    assert len(names) == len([r for r in rows if fold(r[0], 5)]) > 200
+    found = {r["doc_id"]: r["lang_pred"] for r in language.predict(docs.select("doc_id", "text"), names, log_p).collect()}
+    learned = [r for r in rows if fold(r[0], 5)]
+    assert sum(found[i] == lang for i, _, lang in learned) >= 0.95 * len(learned)
+
+
 # ---- Kneser-Ney ----------------------------------------------------------------------------------------------------------
 
 
@@ -345,9 +557,10 @@ def kneser_ney_by_hand(train, rows):
     return out, p, {*c}
 
 
-@pytest.mark.parametrize("per_part", [kneser_ney.TOKENS_PER_PART, 3000])
-def test_scores_by_hand(spark, monkeypatch, per_part):
+@pytest.mark.parametrize("per_part,word_bytes", [(kneser_ney.TOKENS_PER_PART, kneser_ney.BYTES_PER_WORD_PART), (3000, 2000)])
+def test_scores_by_hand(spark, monkeypatch, per_part, word_bytes):
     monkeypatch.setattr(kneser_ney, "TOKENS_PER_PART", per_part)
+    monkeypatch.setattr(kneser_ney, "BYTES_PER_WORD_PART", word_bytes)
     rows = [r for r in AWKWARD if r[0] is not None]
     docs = frame(spark, rows)
     model = kneser_ney.train(docs.where("doc_id <> 11"))
@@ -359,6 +572,31 @@ def test_scores_by_hand(spark, monkeypatch, per_part):
         assert math.isclose(r["base_score"], w[2], rel_tol=1e-9) and math.isclose(r["score"], w[3], rel_tol=1e-9)
 
 
+def test_counts_beyond_32_bits(tmp_path):
+    """Counts travel, meet and are stored whole."""
+    keys, counts = np.array([3, 9, 2**63], np.uint64), np.array([2**32 + 5, 1, 2**40], np.int64)
+    rows = pa.Table.from_batches([b for _ in range(3) for b in kneser_ney._send(np.zeros(3, np.int64), keys, counts)])
+    ((part, found, total),) = kneser_ney._received(rows)
+    assert part == 0 and found.tolist() == keys.tolist() and total.tolist() == (3 * counts).tolist()
+    kneser_ney._write_counts(str(tmp_path), "many", total)
+    kneser_ney._write_counts(str(tmp_path), "few", counts[1:2])
+    assert kneser_ney._map_counts(str(tmp_path), "many").tolist() == total.tolist()
+    assert kneser_ney._map_counts(str(tmp_path), "few").dtype == np.uint32
+
+
+@pytest.mark.parametrize("types,parts", [(1000, 1), (1000, 7), (2**34, 65536), (2**38, 65536)])
+def test_places_of_pairs_are_their_own(types, parts):
+    """Also with more words than 32 bits number."""
+    rng = np.random.default_rng(2)
+    hot = np.unique(rng.integers(0, types, 5))
+    layout = kneser_ney.Layout(types, parts, hot)
+    v, w = np.concatenate([rng.integers(0, types + 1, 3000), rng.choice(hot, 500), [types]]), rng.integers(0, types, 3501)
+    keys, part = layout.place(v, w)
+    for p in np.unique(part):
+        back = layout.words(int(p), keys[part == p])
+        assert back[0].tolist() == v[part == p].tolist() and back[1].tolist() == w[part == p].tolist()
+
+
 def test_probabilities_sum_to_one():
     _, p, words = kneser_ney_by_hand(["a b a c", "a b d", "b a a", "e", None], [])
     for context in ("<s>", "a", "never"):
