@@ -7,9 +7,15 @@ from pyspark.sql import functions as F
 
 
 def byte_size(n: Column) -> Column:
-    """Bytes for people: steps of 1024; no decimals for bytes, one for KB and MB, two above."""
+    """Bytes for people: steps of 1024; no decimals for bytes, one for KB and MB, two above. Rounded as printf does, half to
+    even of the exact value (format_string rounds the shortest digits of a double, half up)."""
     def scaled(power: int, decimals: int, unit: str) -> Column:
-        return F.concat(F.format_string(f"%.{decimals}f", n.cast("double") / float(1024**power)), F.lit(f" {unit}"))
+        x, steps = n.cast("double") / float(1024**power), 10**decimals
+        behind = ((x % 1.0) * float(2**52)).cast("long") * steps
+        down, rest = F.shiftright(behind, 52), behind % 2**52
+        digits = down + ((rest > 2**51) | ((rest == 2**51) & (down % 2 == 1))).cast("long")
+        whole = (x - x % 1.0 + F.floor(digits / steps)).cast("decimal(38,0)")
+        return F.concat(whole.cast("string"), F.lit("."), F.lpad((digits % steps).cast("string"), decimals, "0"), F.lit(f" {unit}"))
 
     return (
         F.when(n < 0, "0 B").when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, scaled(1, 1, "KB"))
