@@ -116,3 +116,27 @@ def test_every_entry_has_a_height_and_every_point_a_next_step(spark):
     tombstones = spark.createDataFrame([(i * 10, i) for i in gone], "operation_id long, file_id long")
     found = sorted(tuple(r) for r in dml.z7_delete_resume(points(spark), tombstones).collect())
     assert found == [(i, "plan" if i not in gone else "resume" if i % 2 else "done") for i in range(1, 420)]
+
+
+def equal_ranges(n=60, owners=12):
+    """Ranges of which most are there several times, also such that begin a run of joined ranges."""
+    return [(o, low := (o * 977 + k * 389) % 4000, low + 1 + (o + k) % 50) for o in range(owners) for k in range(n) for _ in range(1 + (o + k) % 5)]
+
+
+def runs(cells):
+    """Maximal runs of cells as half-open ranges."""
+    return [(c, next(e for e in range(c + 1, 10_000) if e not in cells)) for c in sorted(cells) if c - 1 not in cells]
+
+
+def cells_of(rows):
+    used = {}
+    for o, low, high in rows:
+        used.setdefault(o, set()).update(range(low, high))
+    return used
+
+
+def test_equal_ranges_are_merged_cell_by_cell(spark):
+    rows = equal_ranges()
+    expected = sorted((o, *r) for o, cells in cells_of(rows).items() for r in runs(cells))
+    for df in (ranges(spark, rows), ranges(spark, rows[::-1]).repartition(7)):
+        assert sorted(tuple(r) for r in plans.i1_merged(df).collect()) == expected
