@@ -140,3 +140,10 @@ def test_equal_ranges_are_merged_cell_by_cell(spark):
     expected = sorted((o, *r) for o, cells in cells_of(rows).items() for r in runs(cells))
     for df in (ranges(spark, rows), ranges(spark, rows[::-1]).repartition(7)):
         assert sorted(tuple(r) for r in plans.i1_merged(df).collect()) == expected
+
+
+def test_equal_ranges_count_once_as_used(spark):
+    rows = equal_ranges()
+    expected = sorted((o, len(cells), 5000 - len(cells)) for o, cells in cells_of(rows).items())
+    for df in (ranges(spark, rows), ranges(spark, rows[::-1]).repartition(7)):
+        assert sorted(tuple(r) for r in plans.a13_free_bytes(df).collect()) == expected
