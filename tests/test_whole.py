@@ -147,3 +147,12 @@ def test_equal_ranges_count_once_as_used(spark):
     expected = sorted((o, len(cells), 5000 - len(cells)) for o, cells in cells_of(rows).items())
     for df in (ranges(spark, rows), ranges(spark, rows[::-1]).repartition(7)):
         assert sorted(tuple(r) for r in plans.a13_free_bytes(df).collect()) == expected
+
+
+def test_equal_ranges_without_holes_cell_by_cell(spark):
+    rows = equal_ranges()
+    holes = cells_of((o, low + 5, low + 15) for o, low, _ in rows if low % 3 == 0)
+    expected = sorted((o, *r) for o, cells in cells_of(rows).items() for r in runs(cells - holes.get(o, set())))
+    assert holes and expected
+    for df in (ranges(spark, rows), ranges(spark, rows[::-1]).repartition(7)):
+        assert sorted(tuple(r) for r in plans.i2_subtracted(df).collect()) == expected
