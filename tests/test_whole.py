@@ -156,3 +156,9 @@ def test_equal_ranges_without_holes_cell_by_cell(spark):
     assert holes and expected
     for df in (ranges(spark, rows), ranges(spark, rows[::-1]).repartition(7)):
         assert sorted(tuple(r) for r in plans.i2_subtracted(df).collect()) == expected
+
+
+def test_joined_ranges_are_sorted_once(spark):
+    """Equal ranges of an owner must come to both windows in one order, which holds as long as nothing sorts or deals them in between."""
+    plan = plans.i1_merged(ranges(spark, equal_ranges()))._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("Window ["), plan.count("Sort ["), plan.count("Exchange hashpartitioning")) == (2, 1, 1)
