@@ -72,16 +72,17 @@ def sieve(keys: DataFrame, columns: list[str], scratch: Scratch, name: str) -> C
 
 
 def least_reachable(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For nodes 0..count-1 with edges a-b: the smallest node that each reaches."""
+    """For nodes 0..count-1 with edges a-b: the smallest node that each reaches. Roots hang on the least root beside them,
+    so that a long chain takes few rounds."""
     label = np.arange(count)
     while True:
-        before = label.copy()
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
-        if (label == before).all():
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        if not (apart := low < high).any():
             return label
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, high[apart], low[apart])
+        while ((up := label[label]) != label).any():
+            label = up
 
 
 def block_pairs(members: DataFrame, group: list[str], item: str, block: int, scratch: Scratch, name: str) -> DataFrame:
@@ -96,12 +97,30 @@ def block_pairs(members: DataFrame, group: list[str], item: str, block: int, scr
     return dealt.withColumns({"block_i": F.least("own", "other").cast("long"), "block_j": F.greatest("own", "other").cast("long"), "side": F.when(F.col("own") > F.col("other"), 1).otherwise(0)}).drop("blocks", "own", "other")
 
 
+#: Edges that one task takes at once (16 MB).
+AT_ONCE = 1 << 20
+
+
+def _least(batches):
+    """id and component of all edges that come, for each node but a component's least."""
+    if not (held := [b for b in batches if b.num_rows]):
+        return
+    u, v = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in (0, 1))
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    least = nodes[least_reachable(len(nodes), at[: len(u)], at[len(u) :])]
+    moved = least != nodes
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(least[moved])], ["id", "component"])
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
-    """id and component (the smallest id reachable) of each node of edges(a, b), by alternating large and small stars.
-    Each step is a written table; nothing but a count and a checksum comes to the driver."""
+    """id and component (the smallest id reachable) of each node of edges(a, b) but the smallest itself. Up to AT_ONCE
+    edges are one task; more are contracted by alternating large and small stars, each step a written table. Nothing but
+    a count and a checksum comes to the driver."""
     stars = scratch.table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}_0")
     check = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     last, step = check(stars), 0
+    if last[0] <= AT_ONCE:
+        return scratch.table(stars.coalesce(1).mapInArrow(lean(_least), "id bigint, component bigint"), name)
     while last[0]:
         step += 1
         both = stars.select(F.col("u").alias("x"), F.col("v").alias("y")).union(stars.select("v", "u"))

@@ -1,12 +1,16 @@
 """What the operators on groups share, against brute force."""
 
+import os
 import random
 
+import numpy as np
 import pyarrow as pa
+import pytest
 from helpers import Groups
 
+from cairn.llm import groups as shared
 from cairn.llm.common import Scratch, new_names
-from cairn.llm.groups import by_group, components, sieve
+from cairn.llm.groups import by_group, components, least_reachable, sieve
 
 
 def test_components_of_chains_stars_and_random_graphs(spark):
@@ -26,6 +30,41 @@ def test_no_edges(spark):
     assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "test")).count() == 0
 
 
+def chain(n, seed):
+    ids = random.Random(seed).sample(range(10 * n), n)
+    return list(zip(ids[:-1], ids[1:])), min(ids)
+
+
+def test_few_edges_take_few_tables(spark):
+    """Each table is a job or more, which costs the same however few rows it has."""
+    edges, least = chain(300, 3)
+    scratch = Scratch(spark, "test")
+    found = {tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()}
+    assert found == {(i, least) for e in edges for i in e if i != least}
+    assert len(os.listdir(scratch.path.removeprefix("file://"))) <= 2
+
+
+@pytest.mark.parametrize("bound", [0, 298, 299])
+def test_components_are_the_same_beyond_one_task(spark, monkeypatch, bound):
+    monkeypatch.setattr(shared, "AT_ONCE", bound)
+    edges, least = chain(300, 4)
+    found = components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test")).collect()
+    assert sorted(tuple(r) for r in found) == sorted({(i, least) for e in edges for i in e if i != least})
+
+
+def test_least_reachable_of_a_long_chain_and_of_random_edges():
+    order = np.random.default_rng(1).permutation(200_000)
+    assert not least_reachable(len(order), order[:-1], order[1:]).any()
+    rng = random.Random(2)
+    for _ in range(50):
+        n, groups = rng.randrange(1, 40), Groups()
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randrange(40))]
+        for a, b in edges:
+            groups.join(a, b)
+        a, b = (np.array([e[i] for e in edges], np.int64) for i in (0, 1))
+        assert least_reachable(n, a, b).tolist() == [groups.find(i) for i in range(n)]
+
+
 def test_sieve_lets_all_keys_pass(spark):
     keys = spark.createDataFrame([(i, f"k{i}") for i in range(0, 3000, 3)] + [(None, "x"), (5, None)], "a long, b string")
     rows = spark.createDataFrame([(i, f"k{i}") for i in range(3000)] + [(None, "x"), (5, None), (None, None)], "c long, d string")
